@@ -17,6 +17,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ ZIGZAG = _zigzag()
 #: Blocks of a minimum coded unit at 4:2:0 in scan order: component, row and column in the unit.
 UNIT = ((0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (2, 0, 0))
 #: Component (0 luma), spectral band, and bits before and after of each scan the writer makes; None: all components together.
-SCRIPT = ((None, 0, 0, 0, 1), (0, 1, 5, 0, 2), (1, 1, 5, 0, 1), (2, 1, 5, 0, 1), (0, 6, 63, 0, 0), (1, 6, 63, 0, 0), (2, 6, 63, 0, 0), (0, 1, 5, 2, 1), (None, 0, 0, 1, 0), (0, 1, 5, 1, 0), (1, 1, 5, 1, 0), (2, 1, 5, 1, 0))
-#: Restart interval of scans of all components (units) and of one component (blocks).
-RESTART = {True: 16, False: 16}
+SCRIPT = ((None, 0, 0, 0, 1), *((c, 1, 5, 0, 1) for c in range(3)), *((c, 6, 63, 0, 0) for c in range(3)), (None, 0, 0, 1, 0), *((c, 1, 5, 1, 0) for c in range(3)))
+#: Restart interval of scans of all components (units) and of one component (blocks); short, so that many are read side by side.
+RESTART = {True: 4, False: 4}
 #: Lanes that are decoded together.
 LANES = 1 << 13
 
@@ -62,7 +63,7 @@ def _lengths(weights: dict[int, float]) -> list[tuple[int, int]]:
     """Code lengths of a Huffman code over the symbols and one that no code may be (all ones), at most 16 bits."""
     import heapq
 
-    least = max(weights.values()) / 2**13
+    least = max(weights.values()) / 2**10
     heap = [(max(w, least), i, (s,)) for i, (s, w) in enumerate(sorted(weights.items()))] + [(least / 4, -1, (-1,))]
     heapq.heapify(heap)
     depth: dict[int, int] = defaultdict(int)
@@ -104,27 +105,29 @@ def lookup(table: bytes) -> np.ndarray:
 
 
 # ---- writing --------------------------------------------------------------------------------------------------------
-def _pack_bits(values: np.ndarray, sizes: np.ndarray, interval: np.ndarray, n: int) -> list[bytes]:
-    """The bits of each interval, filled up with ones and with a zero byte after each 255.  sizes: under 32, intervals in order."""
-    total = np.bincount(interval, sizes, n).astype(np.int64)
+def _pack_bits(values: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The bits of each interval, filled up with ones and with a zero byte after each 255.  sizes: under 32; counts: codes in each interval, none empty."""
+    ends = np.cumsum(counts)
+    before = np.cumsum(sizes, dtype=np.int64)
+    total = np.diff(before[ends - 1], prepend=0)
     length = (total + 7) // 8
     start = np.concatenate(([0], np.cumsum(length)))
-    before = np.cumsum(sizes) - sizes
-    first = np.concatenate(([0], np.cumsum(total)))[:-1]
-    at = before - first[interval] + 8 * start[interval]
+    at = before - sizes + np.repeat(8 * start[:-1] - (np.cumsum(total) - total), counts)
     fill = np.flatnonzero(8 * length > total)
     gap = 8 * length[fill] - total[fill]
     words = np.zeros(int(start[-1]) // 4 + 3, np.uint64)
-    for p, v, s in ((at, values, sizes), (8 * start[fill] + total[fill], (1 << gap) - 1, gap)):
+    for p, v, n in ((at, values, sizes), (8 * start[fill] + total[fill], (1 << gap) - 1, gap)):
         if len(p):
             w = p >> 5
-            x = v.astype(np.uint64) << (64 - (p & 31) - s).astype(np.uint64)
-            heads = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-            words[w[heads]] |= np.bitwise_or.reduceat(x >> np.uint64(32), heads)
-            words[w[heads] + 1] |= np.bitwise_or.reduceat(x & np.uint64(0xFFFFFFFF), heads)
+            x = v.astype(np.uint64) << (64 - (p & 31) - n).astype(np.uint64)
+            heads = np.flatnonzero(w[1:] != w[:-1])
+            heads = np.concatenate(([0], heads + 1))
+            w = w[heads]
+            words[w] |= np.bitwise_or.reduceat(x >> np.uint64(32), heads)
+            words[w + 1] |= np.bitwise_or.reduceat(x & np.uint64(0xFFFFFFFF), heads)
     data = words.astype(">u4").tobytes()
     cuts = start.tolist()
-    return [data[a:b].replace(b"\xff", b"\xff\0") for a, b in zip(cuts[:-1], cuts[1:])]
+    return [data[i:j].replace(b"\xff", b"\xff\0") for i, j in zip(cuts[:-1], cuts[1:])]
 
 
 def _size(v: np.ndarray) -> np.ndarray:
@@ -147,42 +150,55 @@ def _dc_first(dc: np.ndarray, component: np.ndarray, interval: np.ndarray, low:
             diff[own[1:]] -= np.where(same, v[own[:-1]], 0)
     size = _size(diff)
     codes, sizes, _ = DC_TABLE
-    return codes[size] << size | _ones(diff, size), sizes[size] + size, interval
+    return codes[size] << size | _ones(diff, size), sizes[size] + size, np.ones(len(v), np.int64)
 
 
-def _ac_first(block: np.ndarray, interval: np.ndarray, lo: int, hi: int, low: int) -> tuple[np.ndarray, ...]:
-    band = block[:, lo : hi + 1].astype(np.int32)
-    v = np.sign(band) * (np.abs(band) >> low)
+@lru_cache(8)
+def _runless(low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code with its bits, and their number (0 for a zero), of each coefficient from -1024 on that no zeros stand before."""
+    b = np.arange(-1024, 1024)
+    v = np.sign(b) * (np.abs(b) >> low)
+    size = _size(v)
+    codes, sizes, _ = AC_TABLE
+    size = np.minimum(size, 10)
+    return np.where(v, codes[size] << size | _ones(v, size), 0), np.where(v, sizes[size] + size, 0)
+
+
+def _ac_first(block: np.ndarray, lo: int, hi: int, low: int) -> tuple[np.ndarray, ...]:
+    band = block[:, lo : hi + 1]
+    place = band.astype(np.int64) + 1024
+    value, bits = (t[place].reshape(-1) for t in _runless(low))
+    width, n = hi - lo + 1, len(band)
+    if bits.all():
+        return value, bits, np.full(n, width)
     codes, sizes, _ = AC_TABLE
-    width = hi - lo + 1
-    flat = np.flatnonzero(v)
+    flat = np.flatnonzero(bits)
+    value, bits = value[flat], bits[flat]
     b, k = np.divmod(flat, width)
-    x = v.reshape(-1)[flat].astype(np.int64)
     head = np.concatenate(([True], b[1:] != b[:-1])) if len(b) else np.zeros(0, bool)
     run = k - np.where(head, 0, np.concatenate(([0], k[:-1] + 1)))
+    late = np.flatnonzero(run)
+    x = band.reshape(-1)[flat[late]].astype(np.int64)
+    x = np.sign(x) * (np.abs(x) >> low)
     size = _size(x)
-    long = run >> 4
-    symbol = (run & 15) << 4 | size
-    value, bits = codes[symbol] << size | _ones(x, size), sizes[symbol] + size
-    full = np.zeros(len(v), bool)
+    symbol = (run[late] & 15) << 4 | size
+    value[late], bits[late] = codes[symbol] << size | _ones(x, size), sizes[symbol] + size
+    full = np.zeros(n, bool)
     full[b[k == width - 1]] = True
-    if not long.any() and full.all():
-        return value, bits, interval[b]
     # zero runs of 16 stand before their coefficient, an end of block after the last one
-    each = 1 + long
-    count = np.bincount(b, each, len(v)).astype(np.int64)
+    each = 1 + (run >> 4)
+    count = np.bincount(b, each, n).astype(np.int64)
     total = count + ~full
     begins = np.cumsum(total) - total
-    within = np.cumsum(each) - 1
-    within -= np.concatenate(([0], np.cumsum(count)))[:-1][b]
+    within = np.cumsum(each) - 1 - np.concatenate(([0], np.cumsum(count)))[:-1][b]
     out_v, out_s = np.full(int(total.sum()), codes[0xF0]), np.full(int(total.sum()), sizes[0xF0])
     out_v[begins[b] + within], out_s[begins[b] + within] = value, bits
     ends = (begins + count)[~full]
     out_v[ends], out_s[ends] = codes[0], sizes[0]
-    return out_v, out_s, np.repeat(interval, total)
+    return out_v, out_s, total
 
 
-def _ac_refine(block: np.ndarray, interval: np.ndarray, lo: int, hi: int, low: int) -> tuple[np.ndarray, ...]:
+def _ac_refine(block: np.ndarray, lo: int, hi: int, low: int) -> tuple[np.ndarray, ...]:
     band = block[:, lo : hi + 1].astype(np.int32)
     m = np.abs(band) >> low
     n, width = m.shape
@@ -195,11 +211,10 @@ def _ac_refine(block: np.ndarray, interval: np.ndarray, lo: int, hi: int, low: i
     last = np.concatenate((np.zeros((n, 1), last.dtype), last[:, :-1]), axis=1)
     more = np.flip(np.maximum.accumulate(np.flip(new, 1), axis=1), 1)
     skip = ~old & ~new & more & ((zeros - last) % 16 == 0) & (zeros > last)
-    # a full run right before a new coefficient needs no code of its own if it is under 16: only 16 zeros do
     stop = new | skip
     done = np.cumsum(stop, axis=1)
     stops = done[:, -1]
-    open_end = np.flip(np.maximum.accumulate(np.flip(stop, 1), axis=1), 1)[:, -1] == 0  # something follows the last stop
+    open_end = ~stop[:, -1]
     symbols = stops + open_end
     olds = np.cumsum(old, axis=1)
     per_block = symbols + olds[:, -1]
@@ -217,21 +232,16 @@ def _ac_refine(block: np.ndarray, interval: np.ndarray, lo: int, hi: int, low: i
         prev[1:] = np.where(same[1:], olds[sb[:-1], sk[:-1]], 0)
     place = begins[sb] + done[sb, sk] - 1 + prev
     is_new = new[sb, sk]
-    run = (zeros - last)[sb, sk]
-    run = np.where(is_new, run % 16 + np.where((run % 16 == 0) & (run > 0), 0, 0), 15)
-    symbol = np.where(is_new, run << 4 | 1, 0xF0)
+    symbol = np.where(is_new, (zeros - last)[sb, sk] % 16 << 4 | 1, 0xF0)
     sign = (band[sb, sk] > 0).astype(np.int64)
     out_v[place] = np.where(is_new, codes[symbol] << 1 | sign, codes[symbol])
     out_s[place] = sizes[symbol] + is_new
     eb = np.flatnonzero(open_end)
-    last_old = np.where(stops[eb] > 0, 0, 0)
-    if len(eb):
-        tail = np.zeros(n, np.int64)
-        np.maximum.at(tail, sb, olds[sb, sk])
-        last_old = tail[eb]
-    place = begins[eb] + stops[eb] + last_old
+    tail = np.zeros(n, np.int64)  # old coefficients before the last stop
+    np.maximum.at(tail, sb, olds[sb, sk])
+    place = begins[eb] + stops[eb] + tail[eb]
     out_v[place], out_s[place] = codes[0], sizes[0]
-    return out_v, out_s, np.repeat(interval, per_block)
+    return out_v, out_s, per_block
 
 
 @dataclass
@@ -246,6 +256,7 @@ class Layout:
     raster: list[np.ndarray] = field(repr=False)
 
     @staticmethod
+    @lru_cache(4096)
     def of(wide: int, high: int) -> Layout:
         n = wide * high
         uy, ux = np.divmod(np.arange(n), wide)
@@ -260,6 +271,23 @@ class Layout:
         return Layout(n, wide, high, np.tile(np.array([u[0] for u in UNIT]), n), raster)
 
 
+def _together(script: tuple) -> list[list[tuple]]:
+    """Neighbouring scans that differ in nothing but the component."""
+    out: list[list[tuple]] = []
+    for scan in script:
+        if out and scan[0] is not None and out[-1][0][0] is not None and out[-1][0][1:] == scan[1:]:
+            out[-1].append(scan)
+        else:
+            out.append([scan])
+    return out
+
+
+@lru_cache(4096)
+def _intervals(blocks: int, size: int) -> np.ndarray:
+    """Blocks in each restart interval."""
+    return np.diff(np.append(np.arange(0, blocks, size), blocks))
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return bytes((0xFF, marker)) + (len(body) + 2).to_bytes(2, "big") + body
 
@@ -278,29 +306,28 @@ def write_many(payloads: list[np.ndarray]) -> list[bytes]:
     coefficient = np.concatenate(blocks)
     first_block = np.concatenate(([0], np.cumsum([6 * x.units for x in layouts])))
     streams: list[list[list[bytes]]] = [[] for _ in payloads]
-    for comp, lo, hi, high_bit, low in SCRIPT:
-        rows, interval, counts = [], [], []
-        at = 0
-        for x, base in zip(layouts, first_block):
-            order = np.arange(6 * x.units) if comp is None else x.raster[comp]
+    for scans in _together(SCRIPT):
+        rows, counts, owners = [], [], []
+        _, lo, hi, high_bit, low = scans[0]
+        for comp, *_ in scans:
             size = 6 * RESTART[True] if comp is None else RESTART[False]
-            own = np.arange(len(order)) // size
-            rows.append(order + base)
-            interval.append(own + at)
-            counts.append(int(own[-1]) + 1)
-            at += counts[-1]
-        rows, interval = np.concatenate(rows), np.concatenate(interval)
-        if comp is None and not high_bit:
-            bits = _dc_first(coefficient[rows, 0], np.concatenate([x.component for x in layouts]), interval, low)
-        elif comp is None:
-            bits = (coefficient[rows, 0].astype(np.int64) >> low) & 1, np.ones(len(rows), np.int64), interval
+            for i, (x, base) in enumerate(zip(layouts, first_block)):
+                order = np.arange(6 * x.units) if comp is None else x.raster[comp]
+                rows.append(order + base)
+                counts.append(_intervals(len(order), size))
+                owners.append(i)
+        rows, blocks = np.concatenate(rows), np.concatenate(counts)
+        if lo:
+            values, bits, each = (_ac_refine if high_bit else _ac_first)(coefficient[rows], lo, hi, low)
+        elif high_bit:
+            values, bits, each = (coefficient[rows, 0].astype(np.int64) >> low) & 1, np.ones(len(rows), np.int64), np.ones(len(rows), np.int64)
         else:
-            bits = (_ac_refine if high_bit else _ac_first)(coefficient[rows], interval, lo, hi, low)
-        parts = _pack_bits(*bits, at)
+            values, bits, each = _dc_first(coefficient[rows, 0], np.concatenate([x.component for x in layouts]), np.repeat(np.arange(len(blocks)), blocks), low)
+        parts = _pack_bits(values, bits, np.diff(np.cumsum(each)[np.cumsum(blocks) - 1], prepend=0))
         k = 0
-        for s, n in zip(streams, counts):
-            s.append(parts[k : k + n])
-            k += n
+        for i, c in zip(owners, counts):
+            streams[i].append(parts[k : k + len(c)])
+            k += len(c)
     out = []
     for p, x, own in zip(payloads, layouts, streams):
         file = [b"\xff\xd8", _segment(0xFE, b"payload " + str(len(p)).encode()), _segment(0xDB, b"\0" + b"\1" * 64)]
@@ -428,25 +455,21 @@ class Lanes:
     """Bit positions in many intervals that are read side by side."""
 
     def __init__(self, intervals: list[bytes]):
-        data = b"".join([x + b"\xff" * 16 for x in intervals])  # as many ones follow as any symbol takes
+        self.data = (b"\xff" * 16).join([*intervals, b"\xff" * 8])  # as many ones follow as any symbol takes
         sizes = np.array([len(x) for x in intervals], np.int64)
-        raw = np.frombuffer(data + b"\xff" * 8, np.uint8)
-        n = len(data)
-        w = np.zeros(n, np.uint64)
-        for i in range(8):
-            w |= raw[i : i + n].astype(np.uint64) << np.uint64(56 - 8 * i)
-        self.window = w
+        self.window = np.ndarray((len(self.data) - 7,), ">u8", self.data, 0, (1,))  # eight bytes from each byte on
         self.at = 8 * (np.cumsum(sizes + 16) - sizes - 16)
         self.end = self.at + 8 * (sizes + 8)
 
     def peek(self, lane: np.ndarray) -> np.ndarray:
         """57 bits or more from the lane's position on, at the top of a word."""
         at = self.at[lane]
-        return self.window[at >> 3] << (at & 7).astype(np.uint64)
+        return self.window[at >> 3].astype(np.uint64) << (at & 7).astype(np.uint64)
 
     def bits(self, at: np.ndarray) -> np.ndarray:
         """Single bits."""
-        return (self.window[at >> 3] >> (np.uint64(63) - (at & 7).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+        raw = np.frombuffer(self.data, np.uint8)
+        return (raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(np.int64)
 
     def guard(self, lane: np.ndarray) -> None:
         if len(lane) and (self.at[lane] > self.end[lane]).any():
@@ -585,6 +608,28 @@ def _read_ac_refine(lanes: Lanes, blocks: np.ndarray, first: np.ndarray, order:
     out[rows[row], lo + kk] = sign << scan.low
 
 
+@lru_cache(4096)
+def _scan_blocks(width: int, height: int, sampling: tuple, chosen: tuple) -> tuple[np.ndarray, np.ndarray, int]:
+    """Blocks of a scan in its order (places in each component's padded grid), their components, and blocks of a unit."""
+    hm, vm = max(h for h, _ in sampling), max(v for _, v in sampling)
+    uw, uh = -(-width // (8 * hm)), -(-height // (8 * vm))
+    if len(chosen) == 1:
+        h, v = sampling[chosen[0]]
+        sh, sw = -(-(-(-height * v // vm)) // 8), -(-(-(-width * h // hm)) // 8)
+        blocks = (np.arange(sh)[:, None] * (uw * h) + np.arange(sw)).reshape(-1)
+        return blocks, np.full(len(blocks), chosen[0]), 1
+    uy, ux = np.divmod(np.arange(uw * uh), uw)
+    parts = [((uy * sampling[c][1] + y) * uw * sampling[c][0] + ux * sampling[c][0] + x, c) for c in chosen for y in range(sampling[c][1]) for x in range(sampling[c][0])]
+    return np.stack([p for p, _ in parts], axis=1).reshape(-1), np.tile(np.array([c for _, c in parts]), uw * uh), len(parts)
+
+
+def _order(comps: np.ndarray, chosen: tuple) -> np.ndarray:
+    """The component's number in the scan."""
+    to = np.zeros(max(chosen) + 1, np.int64)
+    to[list(chosen)] = np.arange(len(chosen))
+    return to[comps]
+
+
 def read_coefficients(images: list[Image]) -> None:
     """Fills in `coefficients`: scan by scan in file order, all images' intervals of like scans side by side."""
     base, at = [], 0
@@ -596,29 +641,20 @@ def read_coefficients(images: list[Image]) -> None:
             at += gh * gw
         base.append(own)
     out = np.zeros((at, 64), np.int16)
-    for turn in range(max((len(im.scans) for im in images), default=0)):
-        groups = defaultdict(list)
-        for im, own in zip(images, base):
-            if turn < len(im.scans):
-                s = im.scans[turn]
-                groups[s.lo, s.hi, s.high, s.low, tuple(t[0] for t in s.tables) if not s.lo else s.tables[0][1]].append((im, own, s))
+    turns: dict[int, dict] = defaultdict(lambda: defaultdict(list))
+    for im, own in zip(images, base):
+        done: list[tuple[Scan, int]] = []
+        for s in im.scans:  # a scan waits for earlier ones of its own coefficients only
+            turn = max((k + 1 for e, k in done if e.lo <= s.hi and s.lo <= e.hi and set(e.components) & set(s.components)), default=0)
+            done.append((s, turn))
+            turns[turn][s.lo, s.hi, s.high, s.low, tuple(t[0] for t in s.tables) if not s.lo else s.tables[0][1]].append((im, own, s))
+    for _, groups in sorted(turns.items()):
         for (lo, *_), members in groups.items():
             todo: list[tuple[bytes, np.ndarray, np.ndarray | None]] = []
             for im, own, s in members:
-                if len(s.components) == 1:
-                    c = s.components[0]
-                    sh, sw, _, gw = im.grid(c)
-                    blocks = (own[c] + np.arange(sh)[:, None] * gw + np.arange(sw)).reshape(-1)
-                    comps = np.zeros(len(blocks), np.int64)
-                    unit = 1
-                else:
-                    hm, vm = max(x[1] for x in im.components), max(x[2] for x in im.components)
-                    uw, uh = -(-im.width // (8 * hm)), -(-im.height // (8 * vm))
-                    uy, ux = np.divmod(np.arange(uw * uh), uw)
-                    parts = [(own[c] + (uy * im.components[c][2] + y) * uw * im.components[c][1] + ux * im.components[c][1] + x, j) for j, c in enumerate(s.components) for y in range(im.components[c][2]) for x in range(im.components[c][1])]
-                    blocks = np.stack([p for p, _ in parts], axis=1).reshape(-1)
-                    comps = np.tile(np.array([j for _, j in parts]), uw * uh)
-                    unit = len(parts)
+                blocks, comps, unit = _scan_blocks(im.width, im.height, tuple(x[1:3] for x in im.components), tuple(s.components))
+                blocks = blocks + np.array(own)[comps]
+                comps = _order(comps, tuple(s.components))
                 size = unit * s.restart or len(blocks)
                 for i, data in enumerate(s.intervals):
                     todo.append((data, blocks[i * size : (i + 1) * size], comps[i * size : (i + 1) * size]))
@@ -682,22 +718,38 @@ def decode_many(files: list[bytes]) -> list[Image]:
     return images
 
 
-def payload_of(image: Image) -> np.ndarray:
-    """The payload bytes of an image that `write_many` made."""
-    n = int(next(c for c in image.comments if c.startswith(b"payload "))[8:])
+def _flat(image: Image) -> np.ndarray:
+    """All blocks of a 4:2:0 image, unit by unit."""
     x = Layout.of(image.width // 16, image.height // 16)
-    flat = np.zeros((6 * x.units, 64), np.int16)
+    flat = np.empty((6 * x.units, 64), np.int16)
     for order, own in zip(x.raster, image.coefficients):
         flat[order] = own
-    return (flat.reshape(-1)[:n] + 128).astype(np.uint8)
+    return flat
+
+
+def payload_of(image: Image) -> np.ndarray:
+    """The payload bytes of an image that `write_many` made."""
+    n = int(next(c for c in image.comments if c.startswith(b"payload "))[8:])
+    return (_flat(image).reshape(-1)[:n] + 128).astype(np.uint8)
+
+
+def unit_colours(flat: np.ndarray) -> np.ndarray:
+    """Sums of R, G and B over each 16 x 16 unit of 4:2:0 coefficients (units x 6 x 64, quantization steps 1): the same pixels as `rgb` gives."""
+    n = len(flat)
+    s = flat.reshape(-1, 64).astype(np.float64) @ IDCT
+    s = np.clip(np.floor((s + 4096) / 8192) + 128, 0, 255).astype(np.int32).reshape(n, 6, 8, 8)
+    chroma = np.repeat(np.repeat(s[:, 4:], 2, axis=2), 2, axis=3) - 128  # n, 2, 16, 16
+    chroma = chroma.reshape(n, 2, 2, 8, 2, 8).transpose(0, 1, 2, 4, 3, 5).reshape(n, 2, 4, 64)
+    y, cb, cr = s[:, :4].reshape(n, 4, 64) * 65536 + 32768, chroma[:, 0], chroma[:, 1]
+    return np.stack([np.clip(c >> 16, 0, 255).sum(axis=(1, 2)) for c in (y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)], axis=1)
 
 
-def feature(image: Image) -> str:
-    """Height, width, and the mean of each RGB channel over a 2 x 2 grid, in hexadecimal."""
-    t = rgb(image)
-    h, w = t.shape[0] // 2, t.shape[1] // 2
-    means = [int(t[y : y + h, x : x + w, c].sum(dtype=np.int64)) // (h * w) for y in (0, t.shape[0] - h) for x in (0, t.shape[1] - w) for c in range(3)]
-    return f"{t.shape[0]}x{t.shape[1]}:" + bytes(means).hex()
+def features(images: list[Image]) -> list[str]:
+    """Height, width, and the sums of R, G and B over all pixels of the tensor, for images that `write_many` made."""
+    flats = [_flat(im) for im in images]
+    cuts = np.cumsum([len(f) // 6 for f in flats])[:-1]
+    sums = unit_colours(np.concatenate(flats).reshape(-1, 6, 64))
+    return [f"{im.height}x{im.width}:" + ",".join(map(str, part.sum(axis=0, dtype=np.int64).tolist())) for im, part in zip(images, np.split(sums, cuts))]
 
 
 # ---- DataFrames -----------------------------------------------------------------------------------------------------
@@ -751,9 +803,9 @@ def digest(media: DataFrame) -> DataFrame:
                 files = part.column("media").to_pylist()
                 images = decode_many(files)
                 rows = []
-                for f, im in zip(files, images):
+                for f, im, x in zip(files, images, features(images)):
                     p = payload_of(im)
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature(im)))
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(f), hashlib.sha256(f).hexdigest(), x))
                 types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *arrays], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
