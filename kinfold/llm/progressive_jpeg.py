@@ -14,6 +14,7 @@ quantization steps are 1; pixels would lose bits, coefficients do not.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
@@ -39,7 +40,7 @@ UNIT = ((0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (2, 0, 0))
 #: Component (0 luma), spectral band, and bits before and after of each scan the writer makes; None: all components together.
 SCRIPT = ((None, 0, 0, 0, 1), *((c, 1, 5, 0, 1) for c in range(3)), *((c, 6, 63, 0, 0) for c in range(3)), (None, 0, 0, 1, 0), *((c, 1, 5, 1, 0) for c in range(3)))
 #: Restart interval of scans of all components (units) and of one component (blocks); short, so that many are read side by side.
-RESTART = {True: 4, False: 4}
+RESTART = {True: 8, False: 8}
 #: Lanes that are decoded together.
 LANES = 1 << 13
 
@@ -92,6 +93,7 @@ DC_TABLE = _canonical(_lengths({size: 1.0 if size in (4, 5, 6) else 0.2 for size
 AC_TABLE = _canonical(_lengths(_ac_weights()))
 
 
+@lru_cache(16)
 def lookup(table: bytes) -> np.ndarray:
     """For each 16 bits that can follow: 256 * code length + symbol (0: no code)."""
     out, code, k = np.zeros(1 << 16, np.int32), 0, 16
@@ -166,23 +168,41 @@ def _runless(low: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _ac_first(block: np.ndarray, lo: int, hi: int, low: int) -> tuple[np.ndarray, ...]:
     band = block[:, lo : hi + 1]
-    place = band.astype(np.int64) + 1024
-    value, bits = (t[place].reshape(-1) for t in _runless(low))
     width, n = hi - lo + 1, len(band)
-    if bits.all():
-        return value, bits, np.full(n, width)
+    values, lengths = _runless(low)
+    place = band.astype(np.intp)
+    place += 1024
+    bits = lengths[place]
+    whole = bits.all(axis=1)
+    if whole.all():
+        return values[place].reshape(-1), bits.reshape(-1), np.full(n, width)
+    rows = np.flatnonzero(~whole)
+    some_v, some_s, some_n = _ac_runs(band[rows], low)
+    total = np.full(n, width)
+    total[rows] = some_n
+    begins = np.cumsum(total) - total
+    out_v, out_s = np.empty(int(begins[-1] + total[-1]), np.int64), np.empty(int(begins[-1] + total[-1]), np.int64)
+    rest = np.ones(len(out_v), bool)
+    at = np.repeat(begins[rows] - (np.cumsum(some_n) - some_n), some_n) + np.arange(len(some_v))
+    out_v[at], out_s[at], rest[at] = some_v, some_s, False
+    out_v[rest], out_s[rest] = values[place[whole]].reshape(-1), bits[whole].reshape(-1)
+    return out_v, out_s, total
+
+
+def _ac_runs(band: np.ndarray, low: int) -> tuple[np.ndarray, ...]:
+    """Codes of blocks that have zeros in the band."""
+    n, width = band.shape
     codes, sizes, _ = AC_TABLE
-    flat = np.flatnonzero(bits)
-    value, bits = value[flat], bits[flat]
+    x = band.reshape(-1).astype(np.int64)
+    x = np.sign(x) * (np.abs(x) >> low)
+    flat = np.flatnonzero(x)
+    x = x[flat]
     b, k = np.divmod(flat, width)
     head = np.concatenate(([True], b[1:] != b[:-1])) if len(b) else np.zeros(0, bool)
-    run = k - np.where(head, 0, np.concatenate(([0], k[:-1] + 1)))
-    late = np.flatnonzero(run)
-    x = band.reshape(-1)[flat[late]].astype(np.int64)
-    x = np.sign(x) * (np.abs(x) >> low)
+    run = k - np.where(head, 0, np.concatenate(([0], k[:-1] + 1))) if len(b) else k
     size = _size(x)
-    symbol = (run[late] & 15) << 4 | size
-    value[late], bits[late] = codes[symbol] << size | _ones(x, size), sizes[symbol] + size
+    symbol = (run & 15) << 4 | size
+    value, bits = codes[symbol] << size | _ones(x, size), sizes[symbol] + size
     full = np.zeros(n, bool)
     full[b[k == width - 1]] = True
     # zero runs of 16 stand before their coefficient, an end of block after the last one
@@ -282,6 +302,11 @@ def _together(script: tuple) -> list[list[tuple]]:
     return out
 
 
+@lru_cache(4096)
+def _all(blocks: int) -> np.ndarray:
+    return np.arange(blocks)
+
+
 @lru_cache(4096)
 def _intervals(blocks: int, size: int) -> np.ndarray:
     """Blocks in each restart interval."""
@@ -307,16 +332,13 @@ def write_many(payloads: list[np.ndarray]) -> list[bytes]:
     first_block = np.concatenate(([0], np.cumsum([6 * x.units for x in layouts])))
     streams: list[list[list[bytes]]] = [[] for _ in payloads]
     for scans in _together(SCRIPT):
-        rows, counts, owners = [], [], []
         _, lo, hi, high_bit, low = scans[0]
-        for comp, *_ in scans:
-            size = 6 * RESTART[True] if comp is None else RESTART[False]
-            for i, (x, base) in enumerate(zip(layouts, first_block)):
-                order = np.arange(6 * x.units) if comp is None else x.raster[comp]
-                rows.append(order + base)
-                counts.append(_intervals(len(order), size))
-                owners.append(i)
-        rows, blocks = np.concatenate(rows), np.concatenate(counts)
+        orders = [_all(6 * x.units) if comp is None else x.raster[comp] for comp, *_ in scans for x in layouts]
+        size = 6 * RESTART[True] if scans[0][0] is None else RESTART[False]
+        counts = [_intervals(len(x), size) for x in orders]
+        rows = np.concatenate(orders) + np.repeat(np.tile(first_block[:-1], len(scans)), [len(x) for x in orders])
+        owners = [*range(len(layouts))] * len(scans)
+        blocks = np.concatenate(counts)
         if lo:
             values, bits, each = (_ac_refine if high_bit else _ac_first)(coefficient[rows], lo, hi, low)
         elif high_bit:
@@ -330,21 +352,22 @@ def write_many(payloads: list[np.ndarray]) -> list[bytes]:
             k += len(c)
     out = []
     for p, x, own in zip(payloads, layouts, streams):
-        file = [b"\xff\xd8", _segment(0xFE, b"payload " + str(len(p)).encode()), _segment(0xDB, b"\0" + b"\1" * 64)]
         sof = bytes((8,)) + (x.high * 16).to_bytes(2, "big") + (x.wide * 16).to_bytes(2, "big") + bytes((3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0))
-        file += [_segment(0xC2, sof), _segment(0xC4, b"\x00" + DC_TABLE[2]), _segment(0xC4, b"\x10" + AC_TABLE[2])]
-        for (comp, lo, hi, high_bit, low), parts in zip(SCRIPT, own):
-            file.append(_segment(0xDD, RESTART[comp is None].to_bytes(2, "big")))
-            chosen = (1, 2, 3) if comp is None else (comp + 1,)
-            file.append(_segment(0xDA, bytes((len(chosen),)) + b"".join(bytes((c, 0)) for c in chosen) + bytes((lo, hi, high_bit << 4 | low))))
-            for i, part in enumerate(parts):
-                if i:
-                    file.append(bytes((0xFF, 0xD0 + (i - 1) % 8)))
-                file.append(part)
+        file = [b"\xff\xd8", _segment(0xFE, b"payload " + str(len(p)).encode()), TABLES, _segment(0xC2, sof)]
+        for header, parts in zip(HEADERS, own):
+            marked = [header] * (2 * len(parts))
+            marked[1::2] = parts
+            marked[2::2] = (MARKS * (len(parts) // 8 + 1))[: len(parts) - 1]
+            file += marked
         out.append(b"".join([*file, b"\xff\xd9"]))
     return out
 
 
+MARKS = [bytes((0xFF, 0xD0 + i)) for i in range(8)]
+TABLES = _segment(0xDB, b"\0" + b"\1" * 64) + _segment(0xC4, b"\x00" + DC_TABLE[2]) + _segment(0xC4, b"\x10" + AC_TABLE[2])
+HEADERS = [_segment(0xDD, RESTART[c is None].to_bytes(2, "big")) + _segment(0xDA, bytes((3 if c is None else 1,)) + b"".join(bytes((i, 0)) for i in ((1, 2, 3) if c is None else (c + 1,))) + bytes((lo, hi, high << 4 | low))) for c, lo, hi, high, low in SCRIPT]
+
+
 # ---- reading --------------------------------------------------------------------------------------------------------
 @dataclass
 class Scan:
@@ -427,30 +450,20 @@ def parse(data: bytes) -> Image:
             chosen = [ids.index(body[1 + 2 * i]) for i in range(body[0])]
             own = [(tables.get(body[2 + 2 * i] >> 4, b""), tables.get(16 | body[2 + 2 * i] & 15, b"")) for i in range(body[0])]
             lo, hi, bits = body[1 + 2 * body[0] : 4 + 2 * body[0]]
-            start, intervals = at, []
-            while True:
-                at = data.find(b"\xff", at)
-                if at < 0 or at + 1 >= len(data):
-                    at = len(data)
-                    break
-                m = data[at + 1]
-                if m == 0:
-                    at += 2
-                elif 0xD0 <= m <= 0xD7:
-                    intervals.append(data[start:at])
-                    at += 2
-                    start = at
-                elif m == 0xFF:
-                    at += 1
-                else:
-                    break
-            intervals.append(data[start:at])
+            end = SCAN_END.search(data, at)
+            end = end.start() if end else len(data)
+            intervals = RESTARTS.split(data[at:end])
+            at = end
             image.scans.append(Scan(chosen, lo, hi, bits >> 4, bits & 15, restart, own, [x.replace(b"\xff\0", b"\xff") for x in intervals]))
     if not image.components:
         raise ValueError("no frame")
     return image
 
 
+SCAN_END = re.compile(b"\xff[^\x00\xd0-\xd7\xff]")
+RESTARTS = re.compile(b"\xff[\xd0-\xd7]")
+
+
 class Lanes:
     """Bit positions in many intervals that are read side by side."""
 
@@ -630,6 +643,15 @@ def _order(comps: np.ndarray, chosen: tuple) -> np.ndarray:
     return to[comps]
 
 
+@lru_cache(256)
+def _schedule(scans: tuple) -> list[int]:
+    """When each scan is read: after earlier ones of its own coefficients, beside all others."""
+    turns: list[int] = []
+    for chosen, lo, hi in scans:
+        turns.append(max((k + 1 for (c, a, b), k in zip(scans, turns) if a <= hi and lo <= b and set(c) & set(chosen)), default=0))
+    return turns
+
+
 def read_coefficients(images: list[Image]) -> None:
     """Fills in `coefficients`: scan by scan in file order, all images' intervals of like scans side by side."""
     base, at = [], 0
@@ -643,34 +665,35 @@ def read_coefficients(images: list[Image]) -> None:
     out = np.zeros((at, 64), np.int16)
     turns: dict[int, dict] = defaultdict(lambda: defaultdict(list))
     for im, own in zip(images, base):
-        done: list[tuple[Scan, int]] = []
-        for s in im.scans:  # a scan waits for earlier ones of its own coefficients only
-            turn = max((k + 1 for e, k in done if e.lo <= s.hi and s.lo <= e.hi and set(e.components) & set(s.components)), default=0)
-            done.append((s, turn))
+        for s, turn in zip(im.scans, _schedule(tuple((tuple(s.components), s.lo, s.hi) for s in im.scans))):
             turns[turn][s.lo, s.hi, s.high, s.low, tuple(t[0] for t in s.tables) if not s.lo else s.tables[0][1]].append((im, own, s))
     for _, groups in sorted(turns.items()):
         for (lo, *_), members in groups.items():
-            todo: list[tuple[bytes, np.ndarray, np.ndarray | None]] = []
+            data: list[bytes] = []
+            orders, places, counts = [], [], []
             for im, own, s in members:
                 blocks, comps, unit = _scan_blocks(im.width, im.height, tuple(x[1:3] for x in im.components), tuple(s.components))
-                blocks = blocks + np.array(own)[comps]
-                comps = _order(comps, tuple(s.components))
-                size = unit * s.restart or len(blocks)
-                for i, data in enumerate(s.intervals):
-                    todo.append((data, blocks[i * size : (i + 1) * size], comps[i * size : (i + 1) * size]))
+                orders.append(blocks + (own[s.components[0]] if unit == 1 else np.array(own)[comps]))
+                if not lo:
+                    places.append(_order(comps, tuple(s.components)))
+                counts.append(_intervals(len(blocks), unit * s.restart or len(blocks)))
+                if len(counts[-1]) != len(s.intervals):
+                    raise ValueError("restart intervals are missing")
+                data += s.intervals
+            order, n = np.concatenate(orders), np.concatenate(counts)
+            comps = np.concatenate(places) if not lo else None
+            ends = np.cumsum(n)
             scan = members[0][2]
-            for k in range(0, len(todo), LANES):
-                some = todo[k : k + LANES]
-                lanes = Lanes([x[0] for x in some])
-                n = np.array([len(x[1]) for x in some], np.int64)
+            for k in range(0, len(data), LANES):
+                lanes, own = Lanes(data[k : k + LANES]), n[k : k + LANES]
+                some = slice(int(ends[k] - n[k]), int(ends[min(k + LANES, len(n)) - 1]))
                 if not lo:
-                    place, comp = np.zeros((len(some), int(n.max(initial=0))), np.int64), np.zeros((len(some), int(n.max(initial=0))), np.int64)
-                    inside = np.arange(place.shape[1]) < n[:, None]
-                    place[inside], comp[inside] = np.concatenate([x[1] for x in some]), np.concatenate([x[2] for x in some])
-                    _read_dc(lanes, n, place, comp, [] if scan.high else [lookup(t[0]) for t in scan.tables], out, scan)
+                    place, comp = np.zeros((len(own), int(own.max())), np.int64), np.zeros((len(own), int(own.max())), np.int64)
+                    inside = np.arange(place.shape[1]) < own[:, None]
+                    place[inside], comp[inside] = order[some], comps[some]
+                    _read_dc(lanes, own, place, comp, [] if scan.high else [lookup(t[0]) for t in scan.tables], out, scan)
                 else:
-                    order = np.concatenate([x[1] for x in some])
-                    (_read_ac_refine if scan.high else _read_ac_first)(lanes, n, np.cumsum(n) - n, order, lookup(scan.tables[0][1]), out, scan)
+                    (_read_ac_refine if scan.high else _read_ac_first)(lanes, own, np.cumsum(own) - own, order[some], lookup(scan.tables[0][1]), out, scan)
     for im, own in zip(images, base):
         im.coefficients = [out[o : o + im.grid(c)[2] * im.grid(c)[3]] for c, o in enumerate(own)]
 
