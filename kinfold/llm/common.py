@@ -222,3 +222,108 @@ def batches_by(groups: np.ndarray, columns: dict[str, np.ndarray], schema: pa.Sc
 
 PACKED_SCHEMA = pa.schema([("r", pa.int32()), ("payload", pa.binary())])
 REPLY_SCHEMA = pa.schema([("home", pa.int32()), ("payload", pa.binary())])
+
+
+def entries(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, reducers: int, homes: int | None, first: bool = False, known: np.ndarray | None = None, copies: bool = False) -> pa.RecordBatch:
+    """Packed rows that ask which keys occur more than once (or, with `first`, which places aren't a key's first).
+
+    Keys that repeat within this slice are answered here: their first place asks on behalf of all, so that a key which
+    fills the corpus sends one entry from each slice.  known: entries that tell others a key is repeated and need no
+    answer.  homes: how many homes documents are spread over; None if `doc` is the home itself.  copies: the reducers mark
+    one place of each repeated key, which must then not be answered here as well.
+    """
+    tag = np.zeros(len(key), np.uint8) if known is None else known.astype(np.uint8) * 2
+    order = np.lexsort((pos, doc, tag, key))
+    key, doc, pos, tag = key[order], doc[order], pos[order], tag[order]
+    head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+    at = np.flatnonzero(head)
+    count = np.diff(np.append(at, len(key)))
+    single = np.repeat(count == 1, count)
+    # what this slice alone can tell: places of a key it has twice are repeated; with `first`, all but the key's first are not first
+    told = ~head & (tag == 0) if first or copies else ~single & (tag == 0)
+    ask = {"key": key[at], "doc": doc[at], "pos": pos[at].astype(np.uint32), "tag": np.where(tag[at] == 2, 2, np.where(count > 1, 1, 0)).astype(np.uint8)}
+    groups = (ask["key"] >> np.uint64(40)).astype(np.int64) % reducers
+    out = [batches_by(groups, ask, PACKED_SCHEMA)]
+    own = np.flatnonzero(told)
+    home = doc[own] if homes is None else home_of(doc[own], homes)
+    out.append(batches_by(-1 - home.astype(np.int64), {"doc": doc[own].astype(np.int64), "pos": pos[own].astype(np.uint32), "tag": np.zeros(len(own), np.uint8)}, PACKED_SCHEMA))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out[1].num_rows else out[0]
+
+
+def answer(asked: DataFrame, homes: int | None, first: bool = False) -> DataFrame:
+    """Rows (home, payload) that name the places `entries` asked for.  payload: REPLY_COLUMNS; tag 1 marks the first place of a repeated key."""
+
+    def work(table: pa.Table) -> pa.Table:
+        r = table.column("r")[0].as_py()
+        blobs = table.column("payload").to_pylist()
+        if r < 0:
+            return pa.table([pa.array([-1 - r] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], schema=REPLY_SCHEMA)
+        parts = [unpack(b, ENTRY_COLUMNS) for b in blobs]
+        key, doc, pos, tag = (np.concatenate([p[c] for p in parts]) for c in ENTRY_COLUMNS)
+        order = np.lexsort((pos, doc, key))
+        key, doc, pos, tag = key[order], doc[order], pos[order], tag[order]
+        head = np.concatenate(([True], key[1:] != key[:-1]))
+        at = np.flatnonzero(head)
+        count = np.diff(np.append(at, len(key)))
+        if first:
+            told = np.flatnonzero(~head)
+        else:
+            again = (count > 1) | (np.maximum.reduceat(tag, at) > 0)
+            told = np.flatnonzero(np.repeat(again, count) & (tag < 2))
+        home = doc[told] if homes is None else home_of(doc[told], homes)
+        return pa.Table.from_batches([batches_by(home.astype(np.int64), {"doc": doc[told], "pos": pos[told], "tag": head[told].astype(np.uint8)}, REPLY_SCHEMA)])
+
+    return asked.groupBy("r").applyInArrow(work, REPLY)
+
+
+def replies(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, pos, tag of all blobs of a home."""
+    parts = [unpack(b, REPLY_COLUMNS) for b in table.column("payload").to_pylist()]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+    return tuple(np.concatenate([p[c] for p in parts]) for c in REPLY_COLUMNS)
+
+
+def at_homes(docs: DataFrame, told: DataFrame, homes: int, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Brings each home's documents (doc_id, text) and what it was told together; documents come in order of doc_id."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return work(left.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks(), right)
+
+    own = docs.select(home_column(homes).alias("home"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(run, schema)
+
+
+def extent(docs: DataFrame, per_home: int = SLICE_BYTES) -> tuple[int, int]:
+    """Homes of about `per_home` bytes of text for all documents, and reducers of about four times as much."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(1, -(-total // per_home)), max(16, -(-total // (4 * per_home)))
+
+
+def rows_of(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `doc`, its row range in the sorted array `ids` (repeated rows share a doc_id)."""
+    return np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
+
+
+def marks(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: int) -> np.ndarray:
+    """A flag for each place of the concatenated documents that (doc, pos) name; `first`: where each document begins."""
+    out = np.zeros(size, bool)
+    lo, hi = rows_of(ids, doc)
+    n = hi - lo
+    row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[first[row] + np.repeat(pos, n).astype(np.int64)] = True
+    return out
+
+
+def doc_ids(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    col = table.column("doc_id")
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return np.asarray(col.fill_null(NULL_DOC).to_numpy(zero_copy_only=False), np.int64)
+
+
+def cover(start: np.ndarray, length: int, size: int) -> np.ndarray:
+    """Flags of all places within `length` of a start."""
+    step = np.zeros(size + 1, np.int32)
+    np.add.at(step, start, 1)
+    np.add.at(step, np.minimum(start + length, size), -1)
+    return np.cumsum(step[:-1]) > 0
