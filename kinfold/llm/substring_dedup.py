@@ -174,3 +174,4 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False)
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), digest=True)
+

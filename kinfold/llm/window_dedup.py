@@ -2,7 +2,7 @@
 
 A window of 20 words can only repeat if its windows of 10 and of 5 do.  Level 1 hashes windows of 5 words, but only those
 that are the least of the 16 in some window of 20 (content chooses them, so equal windows choose alike).  Windows whose
-chosen parts all repeat are extended to twice that length, again by chosen parts, and only what survives is hashed at
+least part repeats are extended to twice that length, again by chosen parts, and only what survives is hashed at
 full length.  Each level sends packed hashes to reducers and flags back to the documents' homes; a slice asks once for
 each distinct hash, whatever its frequency.
 """
@@ -82,11 +82,11 @@ def _level(w: Words, c: np.ndarray, part: int, window: int) -> tuple[np.ndarray,
 
 
 def _survivors(w: Words, c: np.ndarray, part: int, window: int, repeated: np.ndarray) -> np.ndarray:
-    """Starts of full windows all of whose chosen parts are flagged as repeated."""
-    _, picks, full = _level(w, c, part, window)
-    bad = np.concatenate(([0], np.cumsum(picks & ~repeated)))
-    i = np.arange(len(full))
-    return full & (bad[np.minimum(i + window - part + 1, len(full))] == bad[i])
+    """Starts of full windows whose own least part is flagged as repeated (parts chosen by other windows say nothing: those reach beyond it)."""
+    h, _, full = _level(w, c, part, window)
+    top = np.uint64(2**64 - 1)
+    inside = window - part + 1
+    return full & (sliding(np.minimum, np.where(repeated, h, top), inside, top) == sliding(np.minimum, h, inside, top))
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
