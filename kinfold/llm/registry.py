@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kinfold.llm import byte_bpe, exact_dedup, packing, pii, progressive_jpeg, quality_fm, simhash, substring_dedup, window_dedup
+from kinfold.llm import byte_bpe, exact_dedup, line_dedup, packing, pii, progressive_jpeg, quality_fm, simhash, substring_dedup, window_dedup
 
 QUERIES = {
     "op1_progressive_jpeg": progressive_jpeg.op1,
     "op2_quality_fm": quality_fm.op2,
     "op3_min_bin_slack": packing.op3,
+    "op4_deletion_neighbourhood": line_dedup.op4,
     "op5_simhash": simhash.op5,
     "op6_prefix_free_parsing": substring_dedup.op6,
     "op7_byte_bpe": byte_bpe.op7,
