@@ -53,9 +53,12 @@ def materialize(df: DataFrame) -> DataFrame:
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files of finished passes (it acts when the driver's JVM collects)."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -162,14 +165,33 @@ REPLY = "home int, payload binary"
 
 
 def pack(**columns: np.ndarray) -> bytes:
-    """Columns stored one after another, which compresses better than rows."""
+    """Columns stored one after another, which compresses better than rows.
+
+    `pos` is stored as steps of two bytes where it rises by less than 65536 at a time.
+    """
     n = len(next(iter(columns.values())))
-    return n.to_bytes(4, "little") + b"".join(np.ascontiguousarray(v).tobytes() for v in columns.values())
+    out = [n.to_bytes(4, "little")]
+    for k, v in columns.items():
+        if k == "pos":
+            step = np.diff(v.astype(np.int64))
+            if n and len(step) and step.min() >= 0 and step.max() < 65536:
+                out += [b"\1", int(v[0]).to_bytes(4, "little"), step.astype("<u2").tobytes()]
+                continue
+            out.append(b"\0")
+        out.append(np.ascontiguousarray(v).tobytes())
+    return b"".join(out)
 
 
 def unpack(blob: bytes, dtypes: dict[str, str]) -> dict[str, np.ndarray]:
     n, at, out = int.from_bytes(blob[:4], "little"), 4, {}
     for k, d in dtypes.items():
+        if k == "pos":
+            at += 1
+            if blob[at - 1]:
+                steps = np.frombuffer(blob, "<u2", n - 1, at + 4).astype(np.int64)
+                out[k] = (int.from_bytes(blob[at : at + 4], "little") + np.concatenate(([0], np.cumsum(steps)))).astype(d)
+                at += 4 + 2 * (n - 1)
+                continue
         out[k] = np.frombuffer(blob, d, n, at)
         at += n * np.dtype(d).itemsize
     return out
@@ -242,6 +264,8 @@ def entries(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, reducers: int, ho
     # what this slice alone can tell: places of a key it has twice are repeated; with `first`, all but the key's first are not first
     told = ~head & (tag == 0) if first or copies else ~single & (tag == 0)
     ask = {"key": key[at], "doc": doc[at], "pos": pos[at].astype(np.uint32), "tag": np.where(tag[at] == 2, 2, np.where(count > 1, 1, 0)).astype(np.uint8)}
+    order = np.lexsort((ask["pos"], ask["doc"]))  # by place, which packs best
+    ask = {k: v[order] for k, v in ask.items()}
     groups = (ask["key"] >> np.uint64(40)).astype(np.int64) % reducers
     out = [batches_by(groups, ask, PACKED_SCHEMA)]
     own = np.flatnonzero(told)
