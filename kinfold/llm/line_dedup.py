@@ -21,8 +21,6 @@ from kinfold.llm.common import BASE, NULL_DOC, PACKED, batches_by, documents, ma
 SHORTEST = 10
 FUZZY = 20
 SECOND_BASE = 0xD1342543DE82EF95
-#: Rows of a candidate table (two numbers each) that may be broadcast.
-BROADCAST_ROWS = 200_000
 VARIANT = {"v": "<u8", "i": "<u4", "doc": "<i8", "line": "<u4"}
 SELF = np.uint32(2**32 - 1)
 
@@ -82,10 +80,10 @@ def _lines(part: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(n, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), lists], schema=_LINES)
 
 
-def _chosen_lines(docs: DataFrame, chosen: DataFrame, rows: int) -> DataFrame:
+def _chosen_lines(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """doc, line, text (normalised) of the lines named in `chosen` (doc, line)."""
     lists = chosen.groupBy("doc").agg(F.collect_set("line").alias("lines"))  # no longer than the document
-    own = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_DOC))).join(F.broadcast(lists) if rows <= BROADCAST_ROWS else lists, "doc").select("doc", "text", "lines")
+    own = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_DOC))).join(lists.hint("merge"), "doc").select("doc", "text", "lines")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[int, int, str]] = []
@@ -157,8 +155,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     halves = distinct.select("at", F.explode(F.array_distinct("keys")).alias("key"))
     shared = halves.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     chosen = materialize(halves.join(shared, "key", "left_semi").select("at.doc", "at.line").distinct())
-    rows = chosen.count()
-    texts = materialize(_chosen_lines(docs, chosen, rows))
+    texts = materialize(_chosen_lines(docs, chosen))
     chars = texts.agg(F.sum(F.length("norm"))).first()[0] or 0
     release_shuffles(spark)
     variants = per_slice(texts.withColumnRenamed("norm", "text").withColumn("norm", F.col("text")), _variants(max(8, -(-chars // 500_000))), PACKED, ("doc", "line", "text", "norm"))
@@ -185,7 +182,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = materialize(removed_lines(rows)).withColumnRenamed("doc", "_own")
-    joined = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("_own")).join(gone, "_own", "left")
+    joined = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("_own")).join(gone.hint("merge"), "_own", "left")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         texts, n, removed = [], [], []
