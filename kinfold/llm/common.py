@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one worker holds in numpy form at a time (a single longer text is held whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +95,12 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = SL
         at = to
 
 
-def per_slice(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, columns: Iterable[str] = ("doc_id", "text")) -> DataFrame:
-    """Map bounded Arrow slices of the named columns; other columns never leave the scan."""
+def per_slice(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, columns: Iterable[str] = ("doc_id", "text"), limit: int = SLICE_BYTES) -> DataFrame:
+    """Map Arrow slices of about `limit` bytes of text; columns that aren't named never leave the scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=limit):
                 out = work(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out

@@ -149,7 +149,7 @@ def _meet(table: pa.Table) -> pa.Table:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc (null as NULL_DOC), gone (array of line numbers from 0): the lines that an earlier one makes superfluous."""
     spark = docs.sparkSession
-    lines = materialize(per_slice(docs, _lines, "doc_id long, line int, n int, h1 long, h2 long, keys array<long>").withColumnRenamed("doc_id", "doc"))
+    lines = materialize(per_slice(docs, _lines, "doc_id long, line int, n int, h1 long, h2 long, keys array<long>", limit=1 << 19).withColumnRenamed("doc_id", "doc"))
     same = ["h1", "h2", "n"]
     distinct = materialize(lines.groupBy(*same).agg(F.min(F.struct("doc", "line")).alias("at"), F.first("keys").alias("keys")))
     halves = distinct.select("at", F.explode(F.array_distinct("keys")).alias("key"))
