@@ -2,10 +2,10 @@
 
 A fingerprint is cut into so few segments (three, for four differing bits) that within any linked pair one segment
 differs by one bit at most.  Each distinct fingerprint is indexed under every variant of every segment with one bit as a
-wildcard, 64 keys in all; equal keys are joined and the full distance is verified.  So that a large group of near copies
-is not turned into all its pairs, every key first links its members to its least fingerprint, and components are formed;
-after that only keys that still hold several components are joined, each member outside the key's largest component
-against the others, which finds every link that could still merge two components.
+wildcard, 64 keys in all; equal keys are joined and the full distance is verified in the join.  A key with more than
+CROWD fingerprints (a large group of near copies) is not turned into pairs: it first links its members to its least one,
+and components are formed; then crowded keys that still hold several components are joined, each member outside the
+key's largest component against the others, which finds every link that could still merge two components.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from kinfold.llm.components import components
 WORDS = 4
 SEED = 42
 DISTANCE = 4
+#: Fingerprints under one key from which its links are found by components rather than by pairs.
+CROWD = 64
 
 
 def fingerprint_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -102,20 +104,24 @@ def near(a: str, b: str, distance: int):
 
 def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """node, root over the distinct fingerprints (column fp) that have links; reads `distinct` several times, so it should be a written table."""
-    keys = variants(distinct.select("fp"), distance).repartition("bit", "rest")
-    least = keys.groupBy("bit", "rest").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    same = (F.col("k.bit") == F.col("l.bit")) & (F.col("k.rest") == F.col("l.rest"))
-    star = keys.alias("k").join(least.alias("l"), same & (F.col("k.fp") != F.col("l.v")) & near("k.fp", "l.v", distance)).select(F.col("k.fp").alias("u"), F.col("l.v").alias("v"))
-    first = materialize(components(star))
-    named = materialize(distinct.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("part")))
-    keys = variants(named, distance)
-    parts = keys.groupBy("bit", "rest", "part").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bit", "rest").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    open_keys = materialize(keys.join(mixed, ["bit", "rest"]))
-    a, b = open_keys.filter("part <> main").alias("a"), open_keys.alias("b")
+    key = ["bit", "rest"]
     same = (F.col("a.bit") == F.col("b.bit")) & (F.col("a.rest") == F.col("b.rest"))
+    keys = variants(distinct.select("fp"), distance).repartition(*key)
+    crowds = materialize(keys.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select(*key))
+    quiet = keys.join(crowds, key, "left_anti")
+    pairs = quiet.alias("a").join(quiet.alias("b"), same & (F.col("a.fp") < F.col("b.fp")) & near("a.fp", "b.fp", distance)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    crowded = materialize(keys.join(crowds, key, "left_semi").select("fp", *key))
+    least = crowded.groupBy(*key).agg(F.min("fp").alias("v"))
+    star = crowded.alias("a").join(least.alias("b"), same & (F.col("a.fp") != F.col("b.v")) & near("a.fp", "b.v", distance)).select(F.col("a.fp").alias("u"), F.col("b.v").alias("v"))
+    first = materialize(components(pairs.unionByName(star)))
+    if crowded.isEmpty():
+        return first
+    named = materialize(crowded.join(first, F.col("fp") == F.col("node"), "left").select("fp", *key, F.coalesce("root", "fp").alias("part")))
+    parts = named.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy(*key).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    open_keys = materialize(named.join(mixed, key))
     once = (F.col("b.part") == F.col("b.main")) | (F.col("a.part") < F.col("b.part"))
-    across = a.join(b, same & (F.col("a.part") != F.col("b.part")) & once & near("a.fp", "b.fp", distance)).select(F.col("a.part").alias("u"), F.col("b.part").alias("v")).distinct()
+    across = open_keys.filter("part <> main").alias("a").join(open_keys.alias("b"), same & (F.col("a.part") != F.col("b.part")) & once & near("a.fp", "b.fp", distance)).select(F.col("a.part").alias("u"), F.col("b.part").alias("v")).distinct()
     second = materialize(components(across).withColumnsRenamed({"node": "old", "root": "new"}))
     return first.join(second, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).unionByName(
         second.join(first, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
