@@ -335,7 +335,8 @@ def marks(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, pos: np.ndarray,
     lo, hi = rows_of(ids, doc)
     n = hi - lo
     row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out[first[row] + np.repeat(pos, n).astype(np.int64)] = True
+    at = first[row] + np.repeat(pos, n).astype(np.int64)
+    out[at[at < np.append(first, size)[row + 1]]] = True  # of rows that share a doc_id, the shorter ones end sooner
     return out
 
 

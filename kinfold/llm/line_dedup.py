@@ -181,12 +181,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = materialize(removed_lines(rows)).withColumnRenamed("doc", "_own")
-    joined = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("_own")).join(gone.hint("merge"), "_own", "left")
+    gone = materialize(removed_lines(rows)).withColumnsRenamed({"doc": "_kinfold_doc", "gone": "_kinfold_gone"})
+    joined = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("_kinfold_doc")).join(gone.hint("merge"), "_kinfold_doc", "left")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         texts, n, removed = [], [], []
-        for text, lost in zip(part.column("text").to_pylist(), part.column("gone").to_pylist()):
+        for text, lost in zip(part.column("text").to_pylist(), part.column("_kinfold_gone").to_pylist()):
             if text is None:
                 texts.append(None)
                 n.append(0)
@@ -205,7 +205,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names), "n_lines long, n_removed long"])
-    return per_slice(joined, work, schema, (*names, "gone"))
+    return per_slice(joined, work, schema, (*names, "_kinfold_gone"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def reliabilities(rows: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarr
             for j in range(v.shape[1]):
                 yes, cast = v[:, j] == YES, v[:, j] != ABSTAIN
                 right, wrong = BELIEF[LABELERS[j]]
-                weight = w.sum() / 2  # what is believed beforehand counts as half as many votes
+                weight = w.sum() * (20 if LABELERS[j] == "checksum" else 0.5)  # belief counts as half as many votes; arithmetic outweighs them
                 hit = ((w * p * cast) @ yes + right * weight) / ((w * p) @ cast + weight)
                 miss = ((w * (1 - p) * cast) @ yes + wrong * weight) / ((w * (1 - p)) @ cast + weight)
                 log += np.where(cast, np.where(yes, np.log(hit / miss), np.log(np.clip(1 - hit, 1e-6, 1) / np.clip(1 - miss, 1e-6, 1))), 0)

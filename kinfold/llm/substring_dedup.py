@@ -152,8 +152,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False)
     """doc_id, n_bytes, n_removed, n_spans, and the remaining bytes (`kept`; with `digest` their SHA-256, `kept_sha256`).
 
     A byte goes if a `length`-byte string over it also starts anywhere else.  Matches never cross documents and are judged
-    on the input.  Null texts are empty.  doc_id is taken as a key: rows that repeat it get the answer of its places in
-    common, and rows that repeat doc_id and text are copies of each other.
+    on the input.  Null texts are empty.  doc_id is taken as a key: of rows that share it, places flagged in one are flagged
+    in all that are long enough; rows that repeat the text too are copies of each other.
     """
     told, homes = repeated_strings(docs, length)
 

@@ -143,8 +143,8 @@ def window_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) ->
     """doc_id, n_words, n_removed, and the kept words joined by one space (`kept`; with `digest` their SHA-256, `kept_sha256`).
 
     A word goes if a window of `window` words over it also starts earlier, in a smaller doc_id or further ahead in the
-    same document; a null doc_id is the smallest.  Null texts have no words.  doc_id is taken as a key: rows that repeat
-    doc_id and text are one document twice and get the same answer.
+    same document; a null doc_id is the smallest.  Null texts have no words.  doc_id is taken as a key: of rows that share
+    it, places flagged in one are flagged in all that are long enough.
     """
     told, homes = repeated_starts(docs, window)
 
