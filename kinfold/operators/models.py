@@ -71,9 +71,31 @@ def low_rank(x: np.ndarray, inverse: np.ndarray, rank: int, fudge: float = FUDGE
 
 
 def weights_of(a: np.ndarray) -> np.ndarray:
-    m = np.hstack([a, np.ones((len(a), 1))])
-    w = np.linalg.solve(m @ m.T, np.ones(len(a)))
-    return w / w.sum()
+    """Source weights from the left factor; also for a stack of factors."""
+    m = np.concatenate([a, np.ones((*a.shape[:-1], 1))], axis=-1)
+    w = np.linalg.solve(m @ np.swapaxes(m, -1, -2), np.ones((*a.shape[:-1], 1)))[..., 0]
+    return w / w.sum(axis=-1, keepdims=True)
+
+
+def left_factors(x: np.ndarray, inverse: np.ndarray, rank: int, fudge: float = FUDGE, rounds: int = ROUNDS) -> np.ndarray:
+    """The left factors of `low_rank` for a stack of matrices (leave-one-out refits), solved together."""
+    n, nl, nr = x.shape
+    if not rank:
+        return np.zeros((n, nl, 0))
+    flat = x.reshape(n, -1, 1)
+
+    def solved(design: np.ndarray) -> np.ndarray:
+        w = inverse @ design
+        m = np.swapaxes(design, 1, 2) @ w
+        ridge = fudge * np.trace(m, axis1=1, axis2=2)[:, None, None] * np.eye(m.shape[1])
+        return np.linalg.solve(m + ridge, np.swapaxes(w, 1, 2) @ flat)[..., 0]
+
+    b = np.linalg.svd(x)[2][:, :rank]
+    a = np.zeros((n, nl, rank))
+    for _ in range(rounds):
+        a = solved((np.eye(nl)[None, :, None, :, None] * np.swapaxes(b, 1, 2)[:, None, :, None, :]).reshape(n, nl * nr, nl * rank)).reshape(n, nl, rank)
+        b = solved((a[:, :, None, :, None] * np.eye(nr)[None, None, :, None, :]).reshape(n, nl * nr, rank * nr)).reshape(n, rank, nr)
+    return a
 
 
 def dof(nl: int, nr: int, rank: int) -> int:
@@ -113,7 +135,7 @@ def fit(f2: np.ndarray, n: np.ndarray, target: int, left: list[int], right: list
             out["status"] = "chisq_undefined"
         if with_se:
             b = len(n)
-            each = np.array([weights_of(low_rank(x, m.inverse, rank)[0]) for x in m.loo]) * (b - 1) / math.sqrt(b)
+            each = weights_of(left_factors(m.loo, m.inverse, rank)) * (b - 1) / math.sqrt(b)
             se = np.sqrt(each.var(axis=0, ddof=1))
             out |= {"se": se.tolist(), "z": [float(v / s) if s > 0 else None for v, s in zip(w, se)]}
         if full:
@@ -189,7 +211,7 @@ def rotation(spark: SparkSession, target: str, pool: list[str], right: list[str]
     for k in range(least, most + 1):
         for left in itertools.combinations(pool, k):
             rows.append((len(rows), target, list(left), [*right, *(p for p in pool if rotate_right and p not in left)]))
-    return spark.createDataFrame(rows, "model_id long, target string, left array<string>, right array<string>").repartition(max(1, min(len(rows) // 16, 512)))
+    return spark.createDataFrame(rows, "model_id long, target string, left array<string>, right array<string>").repartition(max(1, min(len(rows) // 2, 2048)))
 
 
 def ranked(fits: DataFrame, p_min: float = 0.05) -> DataFrame:

@@ -118,6 +118,14 @@ def test_qpadm_recovers_a_mixture():
     assert {x["pat"] for x in r["popdrop"]} == {"00", "01", "10"}
 
 
+def test_stacked_factors_equal_single_ones():
+    rng = np.random.default_rng(8)
+    x, q = rng.random((5, 3, 4)), np.linalg.inv(np.eye(12) + 0.1)
+    for r in (0, 1, 2):
+        one = [models.low_rank(m, q, r)[0] for m in x]
+        assert np.allclose(models.left_factors(x, q, r), np.array(one).reshape(5, 3, r), rtol=1e-8)
+
+
 def test_unknown_label_is_a_status(spark):
     t = tensor_of(spark)
     m = spark.createDataFrame([(0, "P0", ["nobody"], ["P1", "P2"])], "model_id long, target string, left array<string>, right array<string>")
