@@ -274,7 +274,7 @@ ends AS (SELECT chrom, min(pos_bp) AS a, max(pos_bp) AS z FROM snps GROUP BY chr
 wins AS (SELECT chrom, a + k * {STEP} AS "start", least(a + k * {STEP} + {WIN} - 1, z) AS "end" FROM (SELECT *, unnest(range(0, 1 + greatest(0, CAST(ceil((z - a + 1 - {WIN}) / {STEP}.0) AS BIGINT)))) AS k FROM ends)),
 wn AS (SELECT w.chrom, w."start", w."end", count(*) AS n_snp FROM wins w JOIN snps s ON s.chrom = w.chrom AND s.pos_bp BETWEEN w."start" AND w."end" GROUP BY w.chrom, w."start", w."end"),
 wf AS (SELECT w.chrom, w."start", w."end", s.p1, s.p2, sum(num) / nullif(sum(den), 0) AS fst FROM wins w JOIN snps v ON v.chrom = w.chrom AND v.pos_bp BETWEEN w."start" AND w."end" JOIN sites s ON s.snp_idx = v.snp_idx GROUP BY w.chrom, w."start", w."end", s.p1, s.p2),
-ww AS (SELECT wn.*, l.p1, l.p2, wf.fst FROM wn CROSS JOIN (SELECT DISTINCT p1, p2 FROM sites) l LEFT JOIN wf ON wf.chrom = wn.chrom AND wf."start" = wn."start" AND wf.p1 = l.p1 AND wf.p2 = l.p2)"""
+ww AS (SELECT wn.*, l.p1, l.p2, wf.fst FROM wn CROSS JOIN (SELECT DISTINCT p1, p2 FROM pr) l LEFT JOIN wf ON wf.chrom = wn.chrom AND wf."start" = wn."start" AND wf.p1 = l.p1 AND wf.p2 = l.p2)"""
 
 
 @query("fst_windows", f"WITH {WINDOW_SQL} SELECT chrom, \"start\", \"end\", p1, p2, n_snp, {R('fst')} AS fst FROM ww")
