@@ -128,37 +128,30 @@ def _panels(spark, d):
     return ha.panels(fx.genotypes(spark, d), s, fx.samples(spark, d))
 
 
-def _recipients(spark, d) -> list[int]:
-    """The first sample of each population: the operator is asked about these recipients."""
-    return [r[0] for r in fx.samples(spark, d).groupBy("pop").agg(F.min("sample_idx")).select("min(sample_idx)").collect()]
-
-
 @query("paint")
 def q_paint(spark, d):
-    return ha.paint(spark, _panels(spark, d), _recipients(spark, d))
+    return ha.paint(spark, _panels(spark, d), fx.samples(spark, d))
 
 
 @query("local_ancestry")
 def q_localanc(spark, d):
-    return ha.local_ancestry(spark, _panels(spark, d), _recipients(spark, d))
+    return ha.local_ancestry(spark, _panels(spark, d), fx.samples(spark, d))
 
 
 @query("roh")
 def q_roh(spark, d):
     p = _panels(spark, d)
     genotypes = {c: x.alleles * 2 * (x.alleles >= 0) - (x.alleles < 0) for c, x in p.items()}
-    return ha.roh_summary(ha.roh(spark, p, genotypes, _recipients(spark, d)), fx.samples(spark, d).filter(F.col("sample_idx").isin(_recipients(spark, d))))
+    return ha.roh_summary(ha.roh(spark, p, genotypes, fx.samples(spark, d)), fx.samples(spark, d))
 
 
 @query("ibd")
 def q_ibd(spark, d):
-    import itertools
-
     import numpy as np
 
-    p = _panels(spark, d)
-    like = {c: np.repeat(np.where(x.alleles < 0, 0.5, np.clip(x.alleles, 0.02, 0.98))[:, :, None], 2, axis=2) for c, x in p.items()}
-    return ha.ibd_summary(ha.ibd(spark, p, like, list(itertools.combinations(_recipients(spark, d), 2)), cutoff=0.9, least_cm=0.1))
+    like = lambda a: np.repeat(np.where(a < 0, 0.5, np.clip(a, 0.02, 0.98))[:, :, None], 2, axis=2)
+    id1, id2 = (fx.samples(spark, d).select(F.col("sample_idx").alias(k)) for k in ("id1", "id2"))
+    return ha.ibd_summary(ha.ibd(spark, _panels(spark, d), like, id1.join(id2, F.col("id1") < F.col("id2")), cutoff=0.9, least_cm=0.1))
 
 
 ISLAND_SQL = COUNTS_SQL + """, f AS (SELECT chrom, pos_bp, count(*) FILTER (n >= 6) >= 3 AS flag FROM counts JOIN snps USING (snp_idx) GROUP BY chrom, pos_bp),

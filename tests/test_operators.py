@@ -200,6 +200,48 @@ def test_segments():
     assert haplotypes.roh_segments(post, m, gap_m=0.0) == [(10, 54), (57, 98)]
 
 
+def test_posteriors_of_many_pairs_equal_single_ones():
+    rng = np.random.default_rng(4)
+    l1, l2, freq, m = rng.random((30, 2, 7)), rng.random((30, 2, 7)), rng.uniform(0.05, 0.95, 30), np.sort(rng.random(30))
+    got = haplotypes.ibd_posteriors(l1, l2, freq, m)
+    for k in range(7):
+        assert got[:, k] == pytest.approx(haplotypes.ibd_posterior(l1[:, :, k], l2[:, :, k], freq, m), rel=1e-9)
+
+
+def test_ibd_of_all_pairs_equals_single_scans(spark):
+    rng = np.random.default_rng(6)
+    alleles = rng.integers(-1, 2, (6, 40)).astype(np.int8)
+    alleles[3] = alleles[1]
+    p = haplotypes.Panel(np.arange(40), np.arange(40) / 200, alleles, list("aabbcc"), list(range(10, 16)))
+    like = lambda a: np.repeat(np.where(a < 0, 0.5, np.clip(a, 0.02, 0.98))[:, :, None], 2, axis=2)
+    pairs = list(itertools.combinations(p.ids, 2))
+    seen = alleles >= 0
+    freq = np.clip((alleles * seen).sum(axis=0) / np.maximum(seen.sum(axis=0), 1), 0.01, 0.99)
+    want = set()
+    for a, b in pairs:
+        post = haplotypes.ibd_posterior(like(alleles)[a - 10], like(alleles)[b - 10], freq, p.morgans)
+        want |= {(a, b, s, e) for s, e in haplotypes.ibd_segments(post, p.morgans, 0.6, 0.5)}
+    for arg in (pairs, spark.createDataFrame(pairs, "id1 long, id2 long")):
+        got = {(r.id1, r.id2, r.first_snp, r.last_snp) for r in haplotypes.ibd(spark, {1: p}, like, arg, cutoff=0.6, least_cm=0.5).collect()}
+        assert got == want and (11, 13) in {x[:2] for x in got}
+
+
+def test_scans_take_every_sample(spark, monkeypatch):
+    from kinfold.plans import fits, fixture
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r.sample_idx for r in fixture.samples(spark, sf).collect()}
+    assert len(ids) == 10
+    assert {r.recipient for r in fits.q_paint(spark, sf).select("recipient").collect()} == ids
+    assert {r.recipient for r in fits.q_localanc(spark, sf).select("recipient").distinct().collect()} == ids
+    assert {r.sample_idx for r in fits.q_roh(spark, sf).collect()} == ids
+    asked = []
+    monkeypatch.setattr(haplotypes, "ibd_summary", lambda s: s)
+    monkeypatch.setattr(haplotypes, "ibd", lambda spark, p, like, pairs, **k: asked.append(pairs) or pairs)
+    fits.q_ibd(spark, sf)
+    assert {(r.id1, r.id2) for r in asked[0].collect()} == set(itertools.combinations(sorted(ids), 2))
+
+
 def test_exponential_fit():
     x = np.arange(5, 200) * 0.001
     assert dating.exponential_fit(x, 0.3 * np.exp(-40 * x) + 0.01, 0.001) == pytest.approx(40, rel=1e-4)
