@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import line_dedup, packing, pii, quality_fm, simhash
+from kinfold.llm import line_dedup, near_texts, packing, pii, quality_fm
 from kinfold.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates stays, once."""
-    own = simhash.near_duplicates(docs)
+    """The document with the smallest doc_id of each group of near-duplicates (0.8 or more of five-word shingles) stays, once."""
+    own = near_texts.near_duplicates(docs)
     kept = own.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     rows = docs.select(*COLUMNS).alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
     twice = materialize(own.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinfold.llm import byte_bpe, exact_dedup, line_dedup, packing, pii, progressive_jpeg, quality_fm, simhash, substring_dedup, window_dedup
+from kinfold.llm import byte_bpe, exact_dedup, line_dedup, near_texts, packing, pii, progressive_jpeg, quality_fm, simhash, substring_dedup, window_dedup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -402,3 +402,31 @@ def test_pipeline_stages(spark, docs):
         assert own.columns == docs.columns and own.dtypes == docs.dtypes
         assert own.count() <= before
     assert corpus_pipeline.STAGES[-1][1](spark, own, SF).select("doc_id").distinct().count() == own.select("doc_id").distinct().count()
+
+
+def plain_shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_pipeline_links_texts_of_four_fifths(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_texts, "CROWD", crowd)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 8):  # similarity about 0.94, 0.88, 0.82 and 0.6
+            own = list(base)
+            for i in rng.sample(range(5, 145), edits):
+                own[i] = "new"
+            texts.append(" ".join(own))
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame(spark, texts), SF).collect()}
+    assert kept == set(root) and len(kept) < 120
