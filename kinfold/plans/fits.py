@@ -109,7 +109,7 @@ def q_project(spark, d):
 
 @query("admixture")
 def q_admixture(spark, d):
-    return st.admixture(fx.genotypes(spark, d), fx.samples(spark, d), 3, rounds=8)[0]
+    return st.admixture(fx.genotypes(spark, d), fx.samples(spark, d), 3, rounds=200)[0]
 
 
 @query("pcangsd")
@@ -120,7 +120,7 @@ def q_pcangsd(spark, d):
     rows = g.groupBy("snp_idx").agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", like))).alias("m"))
     third = F.array(*[F.lit(1 / 3)] * 3)
     gl = rows.select(F.col("snp_idx").alias("site"), F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), third))).alias("l"))
-    return st.pcangsd(gl, n, rounds=5)
+    return st.pcangsd(gl, n, rounds=100)
 
 
 def _panels(spark, d):

@@ -178,6 +178,28 @@ def test_admixture_likelihood_rises(spark):
     assert np.argmax(q[0]) != np.argmax(q[11]) and max(q[0]) > 0.8
 
 
+def test_ancestry_fits_say_whether_they_converged(spark, monkeypatch):
+    from kinfold.plans import fits
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(int(i), int(j), int(rng.binomial(2, 0.9 if i % 2 == j // 3 else 0.2))) for i in range(20) for j in range(6)], "snp_idx long, sample_idx long, dosage int")
+    who = spark.createDataFrame([(i,) for i in range(6)], "sample_idx long")
+    short = structure.admixture(df, who, 2, rounds=2)[0].first()
+    assert (short.rounds, short.converged) == (2, False)
+    whole, trace = structure.admixture(df, who, 2, tol=1e-2)
+    whole = whole.first()
+    assert whole.converged and whole.rounds == len(trace) < 200
+    gl = df.groupBy("snp_idx").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "dosage"))).alias("c")).select(F.col("snp_idx").alias("site"), F.flatten(F.transform("c", lambda x: F.array(*[F.when(x.dosage == k, 0.9).otherwise(0.05) for k in range(3)]))).alias("l"))
+    one = structure.pcangsd(gl, 6, rounds=1).first()
+    assert (one.rounds, one.converged) == (1, False)
+    asked = {}
+    monkeypatch.setattr(structure, "admixture", lambda *a, rounds=200, **k: asked.update(admixture=rounds) or [None])
+    monkeypatch.setattr(structure, "pcangsd", lambda *a, rounds=100, **k: asked.update(pcangsd=rounds))
+    fits.q_admixture(spark, "/root/testdata/sf0.001")
+    fits.q_pcangsd(spark, "/root/testdata/sf0.001")
+    assert asked == {"admixture": 200, "pcangsd": 100}
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(1)
     e, rho, pi = rng.random((4, 3)), np.array([1, 0.2, 0.3, 0.1]), np.full(3, 1 / 3)
