@@ -217,7 +217,7 @@ def topologies(leaves: list[str], mixtures: int = 0) -> list[Edges]:
     return list(out.values())
 
 
-def search(spark: SparkSession, tensor: DataFrame, leaves: list[str], mixtures: int = 0, starts: int = 3) -> DataFrame:
+def search(spark: SparkSession, tensor: DataFrame, leaves: list[str], mixtures: int = 1, starts: int = 3) -> DataFrame:
     """Fits of all topologies in order of score."""
     rows = [(i, [{"from": a, "to": b} for a, b in t]) for i, t in enumerate(topologies(leaves, mixtures))]
     graphs = spark.createDataFrame(rows, "graph_id long, edges array<struct<from:string,to:string>>").repartition(max(1, min(len(rows) // 4, 512)))

@@ -80,7 +80,7 @@ def q_graph(spark, d):
 
 @query("qpgraph_search")
 def q_search(spark, d):
-    return gr.search(spark, nation_tensor(spark, d), ["NATION_0", "NATION_3", "NATION_7", "NATION_2", "NATION_12"])
+    return gr.search(spark, nation_tensor(spark, d), ["NATION_0", "NATION_3", "NATION_7", "NATION_2", "NATION_12"], mixtures=1)
 
 
 @query("qpfstats")

@@ -148,6 +148,17 @@ def test_graph_fit_recovers_a_tree():
     assert len(graphs.topologies(list("abcd"))) == 3 and len(graphs.topologies(list("abcde"))) == 15
 
 
+def test_search_takes_graphs_of_one_mixture(monkeypatch):
+    from kinfold.plans import fits
+
+    asked = []
+    monkeypatch.setattr(fits, "nation_tensor", lambda *a: None)
+    monkeypatch.setattr(graphs, "search", lambda spark, tensor, leaves, mixtures=0, **k: asked.append(mixtures))
+    fits.q_search(None, "")
+    mixed = [len(graphs.parse(t).mixed) for t in graphs.topologies(list("abcde"), asked[0])]
+    assert mixed.count(0) == 15 and mixed.count(1) > 15
+
+
 def test_nonnegative_least_squares():
     a = np.array([[1.0, 1.0], [1.0, 2.0], [1.0, 3.0]])
     assert graphs.nonnegative(a, a @ np.array([0.5, 2.0])) == pytest.approx([0.5, 2.0], rel=1e-6)
