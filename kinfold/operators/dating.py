@@ -19,7 +19,7 @@ def autocorrelation(x: np.ndarray, lags: int) -> np.ndarray:
     return np.fft.irfft(f * np.conj(f), n)[:lags]
 
 
-def date_moments(geno: DataFrame, snps: DataFrame, target: str, source1: str, source2: str, *, step: float = 0.001, fine: int = 10, most: float = 0.5) -> DataFrame:
+def date_moments(geno: DataFrame, snps: DataFrame, target: str, source1: str, source2: str, *, step: float = 0.001, fine: int = 10, most: float = 1.0) -> DataFrame:
     """chrom, lag, s0, s11: pairs of binned variants at each genetic distance and the sum of their weighted residual products, over the target's samples.
 
     A sample's genotypes (halved) are regressed on both sources' frequencies; residuals are weighted by the sources'
@@ -66,7 +66,7 @@ def exponential_fit(x: np.ndarray, y: np.ndarray, step: float) -> float:
     return -math.log((lo + hi) / 2) / step
 
 
-def date(moments: DataFrame, weights: DataFrame, *, step: float = 0.001, low: float = 0.0045, high: float = 0.5) -> DataFrame:
+def date(moments: DataFrame, weights: DataFrame, *, step: float = 0.001, low: float = 0.0045, high: float = 1.0) -> DataFrame:
     """date (generations), se: a fit to the covariance curve of all chromosomes, and its weighted jackknife over chromosomes (weights: chrom, n)."""
     t = moments.toPandas()  # chromosomes x lags
     n = weights.toPandas().set_index("chrom")["n"]

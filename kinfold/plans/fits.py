@@ -92,8 +92,8 @@ def q_fstats(spark, d):
 @query("dates")
 def q_dates(spark, d):
     g, s = fx.genotypes(spark, d), fx.snps(spark, d)
-    m = da.date_moments(g, s, "ASIA", "AFRICA", "EUROPE", step=0.001, most=0.1).persist()
-    return da.date(m, s.groupBy("chrom").agg(F.count("*").alias("n")), high=0.1)
+    m = da.date_moments(g, s, "ASIA", "AFRICA", "EUROPE", step=0.001, most=1.0).persist()
+    return da.date(m, s.groupBy("chrom").agg(F.count("*").alias("n")), high=1.0)
 
 
 @query("pca")

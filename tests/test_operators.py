@@ -280,6 +280,20 @@ def test_exponential_fit():
     assert dating.exponential_fit(x, 0.3 * np.exp(-40 * x) + 0.01, 0.001) == pytest.approx(40, rel=1e-4)
 
 
+def test_dates_use_lags_up_to_one_morgan(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from kinfold.plans import fits
+
+    asked = {}
+    monkeypatch.setattr(fits, "fx", MagicMock())
+    monkeypatch.setattr(fits, "F", MagicMock())
+    monkeypatch.setattr(dating, "date_moments", lambda *a, most, **k: asked.update(most=most) or MagicMock())
+    monkeypatch.setattr(dating, "date", lambda *a, high, **k: asked.update(high=high))
+    fits.q_dates(None, "")
+    assert asked == {"most": 1.0, "high": 1.0}
+
+
 def test_empty_tables(spark):
     g = spark.createDataFrame([], "snp_idx long, sample_idx long, pop string, dosage int")
     assert frequencies.pop_counts(g).count() == 0 and relatedness.king_counts(g).count() == 0
