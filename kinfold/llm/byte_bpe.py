@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +26,8 @@ from kinfold.llm.common import documents, per_slice
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh.
 CACHE = 500_000
+#: Characters up to which a pre-token is remembered.
+SHORT = 64
 #: Two merges of one rank can only overlap where a string is followed by itself and its own first character.
 OVERLAP = re.compile(r"(.)(.*?)\1\2\1", re.S)
 #: Letters, numbers and white space below U+0250, for the fast reading of the public pattern on such texts.
@@ -75,24 +78,43 @@ class ByteBPE:
         for t, r in vocab.items():  # reversed through the byte table, as a decoder has to
             self.table[r] = bytes([self.bytes_of[c] for c in t])
         self.lengths = np.array([len(t) for t in self.table], np.int64)
+        self.longest = int(self.lengths.max())
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.blob = np.frombuffer(b"".join(self.table), np.uint8)
         self.cache: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """The rank rule itself: join the leftmost pair of least rank until none is left."""
+        """The rank rule itself: join the leftmost pair of least rank until none is left; a heap of pairs over a linked list."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        none = len(self.ranks) + (1 << 30)
-        while len(parts) > 1:
-            ranks = [self.ranks.get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        n = len(piece)
+        start, end, after, before = list(range(n)), list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda i: self.ranks.get(piece[start[i] : end[after[i]]]) if after[i] < n else None
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, to = heapq.heappop(heap)
+            if end[i] < 0 or after[i] >= n or end[after[i]] != to:
+                continue  # one of the pair has been joined since
+            gone = after[i]
+            end[i], after[i], end[gone] = end[gone], after[gone], -1
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := rank(k)) is not None:
+                    heapq.heappush(heap, (r, k, end[after[k]]))
+        return [self.ranks[piece[start[i] : end[i]]] for i in range(n) if end[i] >= 0]
+
+    def doubtful(self, mapped: str) -> bool:
+        """Whether two merges of one rank may overlap: a stretch of period L, no longer than a token, that is longer than 2 L."""
+        if len(mapped) <= SHORT:
+            return OVERLAP.search(mapped) is not None
+        x = np.frombuffer(mapped.encode("utf-16-le"), "<u2")
+        for period in range(1, min(self.longest, len(x) // 2) + 1):
+            differ = np.flatnonzero(x[period:] != x[:-period])
+            if (np.diff(differ, prepend=-1, append=len(x) - period) > period + 1).any():
+                return True
+        return False
 
     def _ids(self, model, mapped: list[str]) -> list[list[int]]:
         e = model.encode(mapped, is_pretokenized=True, add_special_tokens=False)
@@ -100,21 +122,23 @@ class ByteBPE:
         ends = np.searchsorted(words, np.arange(len(mapped)), "right").tolist()
         return [ids[s:t] for s, t in zip([0, *ends], ends)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode distinct pre-tokens, and remember them."""
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encode distinct pre-tokens, and remember those of ordinary length."""
         if len(self.cache) + len(pieces) > CACHE:
             self.cache.clear()
         mapped = ["".join([self.chars[b] for b in p.encode()]) for p in pieces]
         found = self._ids(self.models[0], mapped)
-        if doubtful := [i for i, m in enumerate(mapped) if OVERLAP.search(m)]:
+        if doubtful := [i for i, m in enumerate(mapped) if self.doubtful(m)]:
             for i, ids in zip(doubtful, self._ids(self.models[1], [mapped[i] for i in doubtful])):
                 if ids != found[i]:
                     found[i] = self.merge(pieces[i].encode())
         flat = np.array([i for ids in found for i in ids], "<u4").tobytes()
-        at = 0
+        at, out = 0, {}
         for p, ids in zip(pieces, found):
-            self.cache[p] = flat[at : at + 4 * len(ids)]
+            out[p] = flat[at : at + 4 * len(ids)]
             at += 4 * len(ids)
+        self.cache.update([(p, v) for p, v in out.items() if len(p) <= SHORT])
+        return out
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
@@ -128,10 +152,8 @@ class ByteBPE:
             some = pieces[at : at + CACHE // 2]
             found = list(map(self.cache.get, some))
             if None in found:
-                self._learn(list(dict.fromkeys([p for p, f in zip(some, found) if f is None])))
-                found = [f if f is not None else self.cache.get(p) for p, f in zip(some, found)]
-                if None in found:  # forgotten meanwhile
-                    found = [f if f is not None else np.array(self.merge(p.encode()), "<u4").tobytes() for p, f in zip(some, found)]
+                new = self._learn(list(dict.fromkeys([p for p, f in zip(some, found) if f is None])))
+                found = [new[p] if f is None else f for p, f in zip(some, found)]
             out += found
         return b"".join(out)
 
@@ -201,7 +223,12 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids and digests both, in one pass over Arrow batches."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids and digests both, in one pass over Arrow batches.
+
+    Null and empty texts have no tokens and the digest of no bytes.  Repeated rows, and rows without a doc_id, each give a
+    row.  An empty table gives none.  Other columns, whatever their names, are not read.  A text is held whole; the time
+    for one pre-token grows as n log n, also for a text that is a single one.
+    """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         tok = tokenizer(path, pattern)
@@ -219,6 +246,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """`round_trip` of every whole text of `documents`."""
     import public_tokenizers
 
     return round_trip(documents(spark, sf_dir), path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -42,7 +42,9 @@ class WordBPE:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        #: Texts that may hold an added token, in any case, are left to the library whole.
+        self.special = re.compile("|".join(re.escape(t) for t in added), re.I) if added else None
         self.words = Tokenizer.from_file(path)
         self.words.encode_special_tokens = True
         self.words.normalizer = normalizers.Sequence([])
@@ -62,7 +64,7 @@ class WordBPE:
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if WIDE.search(text):
+        if WIDE.search(text) or (self.special and self.special.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         chunks = text.lower().split()
         found = list(map(self.chunks.get, chunks))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from kinfold.llm import byte_bpe, exact_dedup, line_dedup, packing, pii, progressive_jpeg, quality_fm, simhash, substring_dedup, window_dedup
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_progressive_jpeg": progressive_jpeg.op1,
     "op2_quality_fm": quality_fm.op2,
     "op3_min_bin_slack": packing.op3,

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from kinfold.llm import byte_bpe, exact_dedup, line_dedup, near_texts, packing, pii, progressive_jpeg, quality_fm, simhash, substring_dedup, window_dedup
@@ -205,11 +206,11 @@ def test_held_out_accuracy(spark):
 
 # ---- 3
 def test_ids_equal_library(texts):
-    tok = packing.WordBPE(WORD_BPE)
+    tok, fresh = packing.WordBPE(WORD_BPE), Tokenizer.from_file(WORD_BPE)
     rng = random.Random(3)
-    parts = ["a", "AA", " ", "\n", "é", "É", "日本", "🙂", "́", "'s", "'RE", "1", "00", "\x00", "--", "\x85", "\xa0", "\x1c", "ß", "İ", "²", "ſ", "<|endoftext|>"]
+    parts = ["a", "AA", " ", "\n", "é", "É", "日本", "🙂", "́", "'s", "'RE", "1", "00", "\x00", "--", "\x85", "\xa0", "\x1c", "ß", "İ", "²", "ſ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|"]
     for t in [*list(texts.values())[:40], *("".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(1500))]:
-        assert np.frombuffer(tok.encode_packed(t), "<u4").tolist() == tok.whole.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(tok.encode_packed(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
 
 
 def test_fullest_is_exhaustive():
@@ -225,7 +226,7 @@ def test_fullest_is_exhaustive():
 
 def test_packing_is_exact(docs):
     rows = packing.pack_documents(docs).toPandas()
-    whole = packing.tokenizer(WORD_BPE).whole
+    whole = Tokenizer.from_file(WORD_BPE)
     for r in docs.limit(20).collect():
         ids = [*whole.encode(r.text, add_special_tokens=False).ids, 0]
         own = rows[rows.doc_id == r.doc_id].sort_values("piece")
@@ -352,6 +353,9 @@ def test_bpe_equals_tiktoken(texts):
     for t in [*list(texts.values())[:60], *("".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(2000))]:
         ids = ref.encode_ordinary(t)
         assert tok.encode(t) == ids and tok.decode(ids) == t and "".join(tok.decode_stream(ids)) == t
+    for t in ("".join(rng.choices("日本語文字", k=100_000)), "x" * 300_000, "ab" * 100_000, "=" * 30_001):  # single pre-tokens
+        assert tok.decode(tok.encode(t)) == t and tok.encode(t[:20_001]) == ref.encode_ordinary(t[:20_001])
+        assert tok.merge(t[:3000].encode()) == ref.encode_ordinary(t[:3000])
     cut = tok.encode("🙂🙂")[:-1]
     assert tok.decode(cut).endswith("�") and tok.offsets(cut)[-1][1] == len(tok.decode_bytes(cut))
 
