@@ -21,10 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the cluster's shared checkpoint folder (a temporary one where none is named, as in tests)."""
+    """A new path in the cluster's shared checkpoint folder (a temporary one where none is named and all is one process, as in tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="kinfold-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        root = tempfile.mkdtemp(prefix="kinfold-")  # driver and executors are one process
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/kinfold-{uuid.uuid4().hex}"
     atexit.register(drop_path, spark, path)
@@ -153,42 +155,78 @@ def range_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BA
     return (c[end] - c[start]) * powers(len(c), base)[1][start]
 
 
-def byte_hash(data: np.ndarray) -> np.ndarray:
-    return prefix_hash(_TABLE[data])
+#: A second base, for hashes that must not agree by chance.
+SECOND_BASE = 0xD1342543DE82EF95
+
+
+def byte_hash(data: np.ndarray, base: int = BASE) -> np.ndarray:
+    return prefix_hash(_TABLE[data], base)
+
+
+def check_bits(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """16 further bits of the hash of [start, end), from prefix sums of SECOND_BASE."""
+    return (mix(range_hash(c, start, end, SECOND_BASE)) >> np.uint64(48)).astype(np.uint16)
 
 
 # ---- packed hash exchange -------------------------------------------------------------------------------------------
-#: One entry: 64-bit key, document, place in it, and a small tag.
-ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("tag", "u1")])
+#: Stands for a null doc_id in comparisons: a null is the smallest.
+NULL_DOC = -(2**63)
 PACKED = "r int, payload binary"
 REPLY = "home int, payload binary"
+PACKED_SCHEMA = pa.schema([("r", pa.int32()), ("payload", pa.binary())])
+REPLY_SCHEMA = pa.schema([("home", pa.int32()), ("payload", pa.binary())])
+#: Key bits that a narrow key keeps: enough where equal keys of different strings do no more than cost work.
+NARROW = np.uint64((1 << 48) - 1)
 
 
-def pack(**columns: np.ndarray) -> bytes:
-    """Columns stored one after another, which compresses better than rows.
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id (bigint), text, and `ident`, a hash of both that names a row: rows that share a doc_id but not the text are rows of their own.
 
-    `pos` is stored as steps of two bytes where it rises by less than 65536 at a time.
+    Rows that agree in both have one ident; they are alike in every place and get the same answers.
     """
-    n = len(next(iter(columns.values())))
-    out = [n.to_bytes(4, "little")]
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc.alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(doc, F.lit(NULL_DOC)), F.coalesce(text, F.lit(""))).alias("ident"))
+
+
+def column_of(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    """A bigint column; nulls as NULL_DOC."""
+    col = table.column(name)
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return np.asarray(col.fill_null(NULL_DOC).to_numpy(zero_copy_only=False), np.int64)
+
+
+def pack(runs: dict[str, np.ndarray], columns: dict[str, np.ndarray]) -> bytes:
+    """Columns stored one after another.  Columns in `runs` change together and seldom: each stretch is stored once.
+
+    `pos` is stored as steps of two bytes where it changes by -32768 to 32767 at a time.
+    """
+    lead = next(iter(runs.values()))
+    n = len(lead)
+    at = np.flatnonzero(np.concatenate(([True], lead[1:] != lead[:-1]))) if n else np.zeros(0, np.int64)
+    out = [n.to_bytes(4, "little"), len(at).to_bytes(4, "little"), np.diff(np.append(at, n)).astype("<u4").tobytes()]
+    out += [np.ascontiguousarray(v[at], "<i8").tobytes() for v in runs.values()]
     for k, v in columns.items():
         if k == "pos":
             step = np.diff(v.astype(np.int64))
-            if n and len(step) and step.min() >= 0 and step.max() < 65536:
-                out += [b"\1", int(v[0]).to_bytes(4, "little"), step.astype("<u2").tobytes()]
+            if n and len(step) and step.min() >= -32768 and step.max() < 32768:
+                out += [b"\1", int(v[0]).to_bytes(4, "little"), step.astype("<i2").tobytes()]
                 continue
             out.append(b"\0")
         out.append(np.ascontiguousarray(v).tobytes())
     return b"".join(out)
 
 
-def unpack(blob: bytes, dtypes: dict[str, str]) -> dict[str, np.ndarray]:
-    n, at, out = int.from_bytes(blob[:4], "little"), 4, {}
+def unpack(blob: bytes, runs: tuple[str, ...], dtypes: dict[str, str]) -> dict[str, np.ndarray]:
+    n, m = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    counts, at, out = np.frombuffer(blob, "<u4", m, 8), 8 + 4 * m, {}
+    for k in runs:
+        out[k] = np.repeat(np.frombuffer(blob, "<i8", m, at), counts)
+        at += 8 * m
     for k, d in dtypes.items():
         if k == "pos":
             at += 1
             if blob[at - 1]:
-                steps = np.frombuffer(blob, "<u2", n - 1, at + 4).astype(np.int64)
+                steps = np.frombuffer(blob, "<i2", n - 1, at + 4).astype(np.int64)
                 out[k] = (int.from_bytes(blob[at : at + 4], "little") + np.concatenate(([0], np.cumsum(steps)))).astype(d)
                 at += 4 + 2 * (n - 1)
                 continue
@@ -197,124 +235,171 @@ def unpack(blob: bytes, dtypes: dict[str, str]) -> dict[str, np.ndarray]:
     return out
 
 
-ENTRY_COLUMNS = {"key": "<u8", "doc": "<i8", "pos": "<u4", "tag": "u1"}
-REPLY_COLUMNS = {"doc": "<i8", "pos": "<u4", "tag": "u1"}
+ENTRY_RUNS = ("ident", "doc")
+NARROW_COLUMNS = {"pos": "<u4", "low": "<u4", "high": "<u2", "tag": "u1"}
+WIDE_COLUMNS = {"pos": "<u4", "key": "<u8", "check": "<u2", "tag": "u1"}
 
 
-def xxhash64_long(x: np.ndarray) -> np.ndarray:
-    """What Spark's xxhash64 gives for a bigint (XXH64 of its eight bytes, seed 42)."""
-    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
-    with np.errstate(over="ignore"):
-        h = np.uint64(42) + p5 + np.uint64(8)
-        h = h ^ (rot(x.astype(np.int64).view(np.uint64) * p2, 31) * p1)
-        h = rot(h, 27) * p1 + p4
-        h ^= h >> np.uint64(33)
-        h *= p2
-        h ^= h >> np.uint64(29)
-        h *= p3
-        return h ^ (h >> np.uint64(32))
+def read_entries(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """ident, doc, pos, key, check and tag of all blobs; the first byte of a blob tells narrow keys from wide ones."""
+    parts = []
+    for b in blobs:
+        if b[0]:
+            parts.append(unpack(b[1:], ENTRY_RUNS, WIDE_COLUMNS))
+        else:
+            p = unpack(b[1:], ENTRY_RUNS, NARROW_COLUMNS)
+            p["key"] = p.pop("low").astype(np.uint64) | (p.pop("high").astype(np.uint64) << np.uint64(32))
+            p["check"] = np.zeros(len(p["tag"]), np.uint16)
+            parts.append(p)
+    return {c: np.concatenate([p[c] for p in parts]) for c in ("ident", "doc", "pos", "key", "check", "tag")}
 
 
-def home_of(doc: np.ndarray, homes: int) -> np.ndarray:
-    return (xxhash64_long(doc).view(np.int64) % np.int64(homes)).astype(np.int32)
+def blobs_by(groups: np.ndarray, make: Callable[[np.ndarray], bytes], schema: pa.Schema) -> pa.RecordBatch:
+    """One row for each group: its number and what `make` packs of the places that belong to it, in their order."""
+    order = np.argsort(groups, kind="stable")
+    g = groups[order]
+    cuts = np.flatnonzero(np.diff(g)) + 1
+    ends = np.concatenate((cuts, [len(g)])) if len(g) else cuts
+    starts = np.concatenate(([0], cuts)) if len(g) else cuts
+    blobs = [make(order[s:e]) for s, e in zip(starts, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(g[starts], pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
 
-def home_column(homes: int, doc_id: str = "doc_id"):
-    """The same spreading of documents over homes for the DataFrame side."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_DOC))), F.lit(homes).cast("long")).cast("int")
+def reply_rows(home: np.ndarray, ident: np.ndarray, pos: np.ndarray, tag: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    order = np.lexsort((pos, ident))
+    home, ident, pos, tag = home[order], ident[order], pos[order].astype("<u4"), tag[order].astype("u1")
+    return blobs_by(home, lambda i: pack({"ident": ident[i]}, {"pos": pos[i], "tag": tag[i]}), schema)
 
 
-#: Stands for a null doc_id inside the exchange.
-NULL_DOC = -(2**63)
+def homes_of(ident: np.ndarray, homes: int | None) -> np.ndarray:
+    """The home of each row; without a number of homes `ident` is the home itself."""
+    return ident if homes is None else ident % np.int64(homes)
 
 
-def batches_by(groups: np.ndarray, columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-    """One row for each group: its number and its packed columns, the order within a group kept."""
-    order = np.argsort(groups, kind="stable")
-    g = groups[order]
-    cuts = np.flatnonzero(np.diff(g)) + 1
-    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(g)]))
-    if not len(g):
-        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
-    cols = {k: v[order] for k, v in columns.items()}
-    blobs = [pack(**{k: v[s:e] for k, v in cols.items()}) for s, e in zip(starts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(g[starts], pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+def home_column(homes: int):
+    return F.pmod(F.col("ident"), F.lit(homes).cast("long")).cast("int")
 
 
-PACKED_SCHEMA = pa.schema([("r", pa.int32()), ("payload", pa.binary())])
-REPLY_SCHEMA = pa.schema([("home", pa.int32()), ("payload", pa.binary())])
+def _repeated(key: np.ndarray, check: np.ndarray | None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys (and checks) stand together, and flags of the first of each; `last` orders within equal ones."""
+    order = np.argsort(key, kind="stable") if last is None else np.lexsort((last, key))
+    k = key[order]
+    head = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
+    if check is not None:
+        c = check[order]
+        if (~head[1:] & (c[1:] != c[:-1])).any():  # different strings of one key
+            order = np.lexsort((check, key)) if last is None else np.lexsort((last, check, key))
+            k, c = key[order], check[order]
+            head = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+    return order, head
 
 
-def entries(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, reducers: int, homes: int | None, first: bool = False, known: np.ndarray | None = None, copies: bool = False) -> pa.RecordBatch:
+def _not_first(key: np.ndarray, check: np.ndarray, doc: np.ndarray, ident: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Flags of the entries whose key also stands in a smaller doc, or earlier in the same row."""
+    if not len(key):
+        return np.zeros(0, bool)
+    order = np.lexsort((pos, ident, doc, check, key))
+    k, c, d, i, p = (a[order] for a in (key, check, doc, ident, pos))
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+    row = new | np.concatenate(([True], (i[1:] != i[:-1]) | (d[1:] != d[:-1])))
+    at = np.arange(len(k))
+    least, own = d[np.maximum.accumulate(np.where(new, at, 0))], p[np.maximum.accumulate(np.where(row, at, 0))]
+    out = np.zeros(len(k), bool)
+    out[order] = (d > least) | (p > own)
+    return out
+
+
+def entries(key: np.ndarray, check: np.ndarray | None, row: np.ndarray, pos: np.ndarray, ident: np.ndarray, doc: np.ndarray, reducers: int, homes: int | None, first: bool = False, known: np.ndarray | None = None, copies: bool = False) -> pa.RecordBatch:
     """Packed rows that ask which keys occur more than once (or, with `first`, which places aren't a key's first).
 
-    Keys that repeat within this slice are answered here: their first place asks on behalf of all, so that a key which
-    fills the corpus sends one entry from each slice.  known: entries that tell others a key is repeated and need no
-    answer.  homes: how many homes documents are spread over; None if `doc` is the home itself.  copies: the reducers mark
-    one place of each repeated key, which must then not be answered here as well.
+    row: the place of each entry's row in `ident` and `doc`, never falling.  check: further bits of the key; without it
+    keys are narrow.  Keys that repeat within this slice are answered here: their first place asks on behalf of all, so that
+    a key which fills the corpus sends one entry from each slice.  known: entries that tell others a key is repeated and need
+    no answer.  copies: the reducers mark one place of each repeated key, which must then not be answered here as well.
     """
-    tag = np.zeros(len(key), np.uint8) if known is None else known.astype(np.uint8) * 2
-    order = np.lexsort((pos, doc, tag, key))
-    key, doc, pos, tag = key[order], doc[order], pos[order], tag[order]
-    head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    at = np.flatnonzero(head)
-    count = np.diff(np.append(at, len(key)))
-    single = np.repeat(count == 1, count)
-    # what this slice alone can tell: places of a key it has twice are repeated; with `first`, all but the key's first are not first
-    told = ~head & (tag == 0) if first or copies else ~single & (tag == 0)
-    ask = {"key": key[at], "doc": doc[at], "pos": pos[at].astype(np.uint32), "tag": np.where(tag[at] == 2, 2, np.where(count > 1, 1, 0)).astype(np.uint8)}
-    order = np.lexsort((ask["pos"], ask["doc"]))  # by place, which packs best
-    ask = {k: v[order] for k, v in ask.items()}
-    groups = (ask["key"] >> np.uint64(40)).astype(np.int64) % reducers
-    out = [batches_by(groups, ask, PACKED_SCHEMA)]
-    own = np.flatnonzero(told)
-    home = doc[own] if homes is None else home_of(doc[own], homes)
-    out.append(batches_by(-1 - home.astype(np.int64), {"doc": doc[own].astype(np.int64), "pos": pos[own].astype(np.uint32), "tag": np.zeros(len(own), np.uint8)}, PACKED_SCHEMA))
-    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out[1].num_rows else out[0]
+    if check is None:
+        key = key & NARROW
+    if first:
+        told = _not_first(key, check, doc[row], ident[row], pos)
+        ask = np.flatnonzero(~told)
+        if len(np.unique(ident)) < len(ident):  # of rows that agree in all, one asks
+            by = np.lexsort((pos[ask], ident[row[ask]], key[ask]))
+            k, i, p = key[ask][by], ident[row[ask]][by], pos[ask][by]
+            ask = np.sort(ask[by][np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (p[1:] != p[:-1])))]) if len(ask) else ask
+        tags = np.zeros(len(ask), np.uint8)
+        told = np.flatnonzero(told)
+    else:
+        order, head = _repeated(key, check, known)
+        at = np.flatnonzero(head)
+        count = np.diff(np.append(at, len(key)))
+        tell = ~head if copies else ~np.repeat(count == 1, count)
+        told = order[tell]
+        if known is not None:
+            told = told[~known[told]]
+        ask = order[at]
+        tags = np.where(count > 1, 1, 0).astype(np.uint8)
+        if known is not None:
+            tags = np.where(known[ask], 2, tags).astype(np.uint8)
+        by = np.argsort(ask)
+        ask, tags = ask[by], tags[by]
+    k, r, p = key[ask], row[ask], pos[ask].astype("<u4")
+    who, whose = ident[r], doc[r]
+    if check is None:
+        low, high = k.astype("<u4"), (k >> np.uint64(32)).astype("<u2")
+        make = lambda i: b"\0" + pack({"ident": who[i], "doc": whose[i]}, {"pos": p[i], "low": low[i], "high": high[i], "tag": tags[i]})
+    else:
+        c = check[ask].astype("<u2")
+        make = lambda i: b"\1" + pack({"ident": who[i], "doc": whose[i]}, {"pos": p[i], "key": k[i], "check": c[i], "tag": tags[i]})
+    asked = blobs_by(((k & np.uint64(0xFFFFFFFF)) % np.uint64(reducers)).astype(np.int64), make, PACKED_SCHEMA)
+    if not len(told):
+        return asked
+    own = reply_rows(-1 - homes_of(ident[row[told]], homes), ident[row[told]], pos[told], np.zeros(len(told), np.uint8), PACKED_SCHEMA)
+    return pa.Table.from_batches([asked, own]).combine_chunks().to_batches()[0]
 
 
 def answer(asked: DataFrame, homes: int | None, first: bool = False) -> DataFrame:
-    """Rows (home, payload) that name the places `entries` asked for.  payload: REPLY_COLUMNS; tag 1 marks the first place of a repeated key."""
+    """Rows (home, payload) that name the places `entries` asked for; tag 1 marks one place of each repeated key."""
 
     def work(table: pa.Table) -> pa.Table:
         r = table.column("r")[0].as_py()
         blobs = table.column("payload").to_pylist()
         if r < 0:
             return pa.table([pa.array([-1 - r] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], schema=REPLY_SCHEMA)
-        parts = [unpack(b, ENTRY_COLUMNS) for b in blobs]
-        key, doc, pos, tag = (np.concatenate([p[c] for p in parts]) for c in ENTRY_COLUMNS)
-        order = np.lexsort((pos, doc, key))
-        key, doc, pos, tag = key[order], doc[order], pos[order], tag[order]
-        head = np.concatenate(([True], key[1:] != key[:-1]))
-        at = np.flatnonzero(head)
-        count = np.diff(np.append(at, len(key)))
+        e = read_entries(blobs)
         if first:
-            told = np.flatnonzero(~head)
+            told = np.flatnonzero(_not_first(e["key"], e["check"], e["doc"], e["ident"], e["pos"]))
+            tag = np.zeros(len(told), np.uint8)
         else:
-            again = (count > 1) | (np.maximum.reduceat(tag, at) > 0)
-            told = np.flatnonzero(np.repeat(again, count) & (tag < 2))
-        home = doc[told] if homes is None else home_of(doc[told], homes)
-        return pa.Table.from_batches([batches_by(home.astype(np.int64), {"doc": doc[told], "pos": pos[told], "tag": head[told].astype(np.uint8)}, REPLY_SCHEMA)])
+            order, head = _repeated(e["key"], e["check"], None if not e["tag"].any() else e["tag"] == 2)
+            at = np.flatnonzero(head)
+            count = np.diff(np.append(at, len(order)))
+            again = (count > 1) | (np.maximum.reduceat(e["tag"][order], at) > 0)
+            some = np.repeat(again, count) & (e["tag"][order] < 2)
+            told, tag = order[some], head[some].astype(np.uint8)
+        ident = e["ident"][told]
+        return pa.Table.from_batches([reply_rows(homes_of(ident, homes), ident, e["pos"][told], tag, REPLY_SCHEMA)])
 
     return asked.groupBy("r").applyInArrow(work, REPLY)
 
 
-def replies(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, pos, tag of all blobs of a home."""
-    parts = [unpack(b, REPLY_COLUMNS) for b in table.column("payload").to_pylist()]
+REPLY_COLUMNS = {"pos": "<u4", "tag": "u1"}
+
+
+def replies(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ident, pos, tag of all blobs of a home."""
+    parts = [unpack(b, ("ident",), REPLY_COLUMNS) for b in blobs]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
-    return tuple(np.concatenate([p[c] for p in parts]) for c in REPLY_COLUMNS)
+    return tuple(np.concatenate([p[c] for p in parts]) for c in ("ident", "pos", "tag"))
 
 
-def at_homes(docs: DataFrame, told: DataFrame, homes: int, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Brings each home's documents (doc_id, text) and what it was told together; documents come in order of doc_id."""
+def at_homes(rows: DataFrame, told: DataFrame, homes: int, work: Callable[[pa.Table, list[bytes]], pa.Table], schema: str) -> DataFrame:
+    """Brings each home's rows (doc_id, text, ident) and the blobs it was told together; rows come in order of ident."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks(), right)
+        return work(left.sort_by("ident").combine_chunks(), right.column("payload").to_pylist())
 
-    own = docs.select(home_column(homes).alias("home"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = rows.select(home_column(homes).alias("home"), "doc_id", "text", "ident")
     return own.groupBy("home").cogroup(told.groupBy("home")).applyInArrow(run, schema)
 
 
@@ -324,28 +409,16 @@ def extent(docs: DataFrame, per_home: int = SLICE_BYTES) -> tuple[int, int]:
     return max(1, -(-total // per_home)), max(16, -(-total // (4 * per_home)))
 
 
-def rows_of(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of `doc`, its row range in the sorted array `ids` (repeated rows share a doc_id)."""
-    return np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
-
-
-def marks(ids: np.ndarray, first: np.ndarray, doc: np.ndarray, pos: np.ndarray, size: int) -> np.ndarray:
-    """A flag for each place of the concatenated documents that (doc, pos) name; `first`: where each document begins."""
+def marks(idents: np.ndarray, first: np.ndarray, ident: np.ndarray, pos: np.ndarray, size: int) -> np.ndarray:
+    """A flag for each place of the concatenated rows that (ident, pos) name; `first`: where each row begins; `idents` is sorted."""
     out = np.zeros(size, bool)
-    lo, hi = rows_of(ids, doc)
+    lo, hi = np.searchsorted(idents, ident, "left"), np.searchsorted(idents, ident, "right")
     n = hi - lo
     row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = first[row] + np.repeat(pos, n).astype(np.int64)
-    out[at[at < np.append(first, size)[row + 1]]] = True  # of rows that share a doc_id, the shorter ones end sooner
+    out[first[row] + np.repeat(pos, n).astype(np.int64)] = True
     return out
 
 
-def doc_ids(table: pa.Table | pa.RecordBatch) -> np.ndarray:
-    col = table.column("doc_id")
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return np.asarray(col.fill_null(NULL_DOC).to_numpy(zero_copy_only=False), np.int64)
-
-
 def cover(start: np.ndarray, length: int, size: int) -> np.ndarray:
     """Flags of all places within `length` of a start."""
     step = np.zeros(size + 1, np.int32)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import PACKED, REPLY_SCHEMA, answer, at_homes, batches_by, byte_hash, cover, doc_ids, documents, entries, extent, home_of, marks, materialize, mix, per_slice, range_hash, release_shuffles, replies, text_bytes
+from kinfold.llm.common import PACKED, REPLY_SCHEMA, SECOND_BASE, answer, at_homes, byte_hash, check_bits, column_of, cover, documents, entries, extent, homes_of, marks, materialize, mix, pack, per_slice, range_hash, release_shuffles, replies, rows_of, text_bytes
 
 LENGTH = 200
 TRIGGER = 8
@@ -56,30 +56,26 @@ class Parse:
         return left >= length
 
 
-def _asked(parse: Parse, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, phrase numbers and whether each is a span."""
-    end = parse.off[parse.doc + 1]
-    whole = np.flatnonzero(parse.q - parse.p <= length)
-    spans = np.flatnonzero(parse.next - 1 + length <= end)
-    a = mix(range_hash(parse.c, parse.p[whole], parse.q[whole]))
-    b = mix(range_hash(parse.c, parse.p[spans], parse.next[spans] - 1 + length) ^ np.uint64(0x5851F42D4C957F2D))
-    return np.concatenate((a, b)), np.concatenate((whole, spans)), np.concatenate((np.zeros(len(a), bool), np.ones(len(b), bool)))
-
-
 #: Set in the place of an entry that asks for a span.
 SPAN = np.uint32(1 << 31)
+_SALT = np.uint64(0x5851F42D4C957F2D)
+
+
+def _asked(parse: Parse, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the phrases no longer than `length`, and of those whose span ends in the document."""
+    return np.flatnonzero(parse.q - parse.p <= length), np.flatnonzero(parse.next - 1 + length <= parse.off[parse.doc + 1])
 
 
-def _sorted_out(parse: Parse, ids: np.ndarray, right: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sorted_out(parse: Parse, idents: np.ndarray, told: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flags of starts that are settled as repeated, of those still open, and of one copy of each repeated span."""
-    doc, pos, tag = replies(right)
+    ident, pos, tag = replies(told)
     n = len(parse.data)
     is_span = pos >= SPAN
     at = pos & (SPAN - np.uint32(1))
     first = parse.off[:-1]
-    repeated = marks(ids, first, doc[~is_span], at[~is_span], n)
-    spans = marks(ids, first, doc[is_span], at[is_span], n)
-    copies = marks(ids, first, doc[is_span & (tag == 1)], at[is_span & (tag == 1)], n)
+    repeated = marks(idents, first, ident[~is_span], at[~is_span], n)
+    spans = marks(idents, first, ident[is_span], at[is_span], n)
+    copies = marks(idents, first, ident[is_span & (tag == 1)], at[is_span & (tag == 1)], n)
     starts = parse.starts(length)
 
     def fill(which: np.ndarray) -> np.ndarray:
@@ -98,28 +94,32 @@ def _sorted_out(parse: Parse, ids: np.ndarray, right: pa.Table, length: int) ->
     return settled, still, fill(copies) & settled
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
+def repeated_strings(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
     """Replies (home, payload) for each home: what pass 1 and pass 2 found, pass 2's with a tag of 2; and the number of homes."""
-    spark = docs.sparkSession
-    homes, reducers = extent(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def begin(part: pa.RecordBatch) -> pa.RecordBatch:
-        parse, ids = Parse(*text_bytes(part.column("text"))), doc_ids(part)
-        key, phrase, span = _asked(parse, length)
-        doc = parse.doc[phrase]
-        pos = (parse.p[phrase] - parse.off[doc]).astype(np.uint32) | np.where(span, SPAN, np.uint32(0))
-        return entries(key, ids[doc], pos, reducers, homes, copies=True)
-
-    phrases = materialize(answer(per_slice(rows, begin, PACKED), homes))
+    spark = rows.sparkSession
+    homes, reducers = extent(rows)
+
+    def begin(part: pa.RecordBatch) -> list[pa.RecordBatch]:
+        data, off = text_bytes(part.column("text"))
+        parse, ident, doc = Parse(data, off), column_of(part, "ident"), column_of(part, "doc_id")
+        whole, spans = _asked(parse, length)
+        place = (parse.p - parse.off[parse.doc]).astype(np.uint32)
+        a, e = parse.p[spans], parse.next[spans] - 1 + length
+        phrases = entries(mix(range_hash(parse.c, parse.p[whole], parse.q[whole])), None, parse.doc[whole], place[whole], ident, doc, reducers, homes)
+        follows = entries(mix(range_hash(parse.c, a, e) ^ _SALT), check_bits(byte_hash(data, SECOND_BASE), a, e), parse.doc[spans], place[spans] | SPAN, ident, doc, reducers, homes, copies=True)
+        return [phrases, follows]
+
+    phrases = materialize(answer(per_slice(rows, begin, PACKED, ("doc_id", "text", "ident")), homes))
     release_shuffles(spark)
 
-    def seams(left: pa.Table, right: pa.Table) -> pa.Table:
-        parse, ids = Parse(*text_bytes(left.column("text"))), doc_ids(left)
-        _, still, copies = _sorted_out(parse, ids, right, length)
+    def seams(left: pa.Table, right: list[bytes]) -> pa.Table:
+        data, off = text_bytes(left.column("text"))
+        parse, idents = Parse(data, off), column_of(left, "ident")
+        _, still, copies = _sorted_out(parse, idents, right, length)
         i = np.flatnonzero(still | copies)
-        home = np.full(len(i), home_of(ids[:1], homes)[0] if len(ids) else 0, np.int64)
-        return pa.Table.from_batches([entries(mix(range_hash(parse.c, i, i + length)), home, i.astype(np.uint32), reducers, None, known=copies[i])])
+        home = homes_of(idents[:1], homes)
+        check = check_bits(byte_hash(data, SECOND_BASE), i, i + length)
+        return pa.Table.from_batches([entries(mix(range_hash(parse.c, i, i + length)), check, np.zeros(len(i), np.int64), i, home, home, reducers, None, known=copies[i])])
 
     open_starts = materialize(answer(at_homes(rows, phrases, homes, seams, PACKED), None))
     release_shuffles(spark)
@@ -128,50 +128,57 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
         for b in batches:
             out = []
             for blob in b.column("payload").to_pylist():
-                doc, pos, _ = replies(pa.table({"payload": pa.array([blob], pa.binary())}))
-                out.append(batches_by(np.zeros(len(doc), np.int64), {"doc": doc, "pos": pos, "tag": np.full(len(doc), 2, np.uint8)}, REPLY_SCHEMA).column(1)[0].as_py())
+                ident, pos, _ = replies([blob])
+                out.append(pack({"ident": ident}, {"pos": pos, "tag": np.full(len(pos), 2, np.uint8)}))
             yield pa.RecordBatch.from_arrays([b.column("home"), pa.array(out, pa.binary())], schema=REPLY_SCHEMA)
 
     return phrases.unionByName(open_starts.mapInArrow(mark, "home int, payload binary")), homes
 
 
-def _removed(left: pa.Table, right: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, off = text_bytes(left.column("text"))
-    parse, ids = Parse(data, off), doc_ids(left)
-    parts = [(replies(pa.table({"payload": pa.array([b], pa.binary())})), b) for b in right.column("payload").to_pylist()]
-    second = [p for p, _ in parts if len(p[2]) and p[2][0] == 2]
-    first = pa.table({"payload": pa.array([b for p, b in parts if len(p[2]) and p[2][0] != 2], pa.binary())})
-    settled, _, _ = _sorted_out(parse, ids, first, length)
-    for _, pos, _ in second:
+def _removed(table: pa.Table | pa.RecordBatch, told: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data, off = text_bytes(table.column("text"))
+    first, second = [], []
+    for b in told:
+        (second if b[-1] == 2 else first).append(b)  # a blob ends with its last entry's tag
+    settled, _, _ = _sorted_out(Parse(data, off), column_of(table, "ident"), first, length)
+    for _, pos, _ in map(replies, ([b] for b in second)):
         settled[pos.astype(np.int64)] = True
     gone = cover(np.flatnonzero(settled), length, len(data)) if len(data) else np.zeros(0, bool)
     return data, off, gone
 
 
+def _finish(table: pa.Table | pa.RecordBatch, told: list[bytes], length: int, digest: bool) -> list[pa.Array]:
+    data, off, gone = _removed(table, told, length)
+    total = np.concatenate(([0], np.cumsum(gone)))
+    head = gone & ~np.concatenate(([False], gone[:-1])) if len(gone) else gone
+    head[off[:-1][off[:-1] < len(gone)]] = gone[off[:-1][off[:-1] < len(gone)]]
+    heads = np.concatenate(([0], np.cumsum(head)))
+    a, b = off[:-1], off[1:]
+    kept = [data[s:e][~gone[s:e]].tobytes() if total[e] > total[s] else data[s:e].tobytes() for s, e in zip(a, b)]
+    out = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()) if digest else pa.array(kept, pa.binary())
+    col = table.column("doc_id")
+    return [col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col, *(pa.array(x.astype(np.int64)) for x in (b - a, total[b] - total[a], heads[b] - heads[a])), out]
+
+
 def substring_dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and the remaining bytes (`kept`; with `digest` their SHA-256, `kept_sha256`).
 
-    A byte goes if a `length`-byte string over it also starts anywhere else.  Matches never cross documents and are judged
-    on the input.  Null texts are empty.  doc_id is taken as a key: of rows that share it, places flagged in one are flagged
-    in all that are long enough; rows that repeat the text too are copies of each other.
+    A byte goes if a `length`-byte string over it also starts anywhere else.  Matches never cross rows and are judged on the
+    input.  Each row is a text of its own, whatever its doc_id: repeated rows, and rows that share a doc_id or have none,
+    are copies of each other where they agree.  Null, empty and shorter texts lose nothing.  An empty table gives no rows;
+    other columns of `docs`, whatever their names, are not read.  A text is held whole by one worker.
     """
-    told, homes = repeated_strings(docs, length)
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        data, off, gone = _removed(left, right, length)
-        total = np.concatenate(([0], np.cumsum(gone)))
-        head = gone & ~np.concatenate(([False], gone[:-1])) if len(gone) else gone
-        head[off[:-1][off[:-1] < len(gone)]] = gone[off[:-1][off[:-1] < len(gone)]]
-        heads = np.concatenate(([0], np.cumsum(head)))
-        a, b = off[:-1], off[1:]
-        kept = [data[s:e][~gone[s:e]].tobytes() if total[e] > total[s] else data[s:e].tobytes() for s, e in zip(a, b)]
-        out = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()) if digest else pa.array(kept, pa.binary())
-        return pa.table([left.column("doc_id"), *(pa.array(x.astype(np.int64)) for x in (b - a, total[b] - total[a], heads[b] - heads[a])), out], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    out = at_homes(docs, told, homes, finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
+    rows = rows_of(docs)
+    room = F.octet_length("text") >= length
+    some, rest = rows.filter(room), rows.filter(~F.coalesce(room, F.lit(False)))  # texts without room for a string don't travel
+    told, homes = repeated_strings(some, length)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}"
+    out = at_homes(some, told, homes, lambda left, right: pa.table(_finish(left, right, length, digest), names=names), schema)
+    out = out.unionByName(per_slice(rest, lambda part: pa.RecordBatch.from_arrays(_finish(part, [], length, digest), names=names), schema, ("doc_id", "text", "ident")))
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`substring_dedup` of every whole text of `documents`, remaining bytes as digests."""
     return substring_dedup(documents(spark, sf_dir), digest=True)
-

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import NULL_DOC, PACKED, answer, at_homes, byte_hash, cover, doc_ids, documents, entries, extent, marks, materialize, mix, per_slice, prefix_hash, range_hash, release_shuffles, replies, text_bytes
+from kinfold.llm.common import BASE, PACKED, SECOND_BASE, answer, at_homes, byte_hash, check_bits, column_of, cover, documents, entries, extent, marks, materialize, mix, per_slice, prefix_hash, range_hash, release_shuffles, replies, rows_of, text_bytes
 
 WINDOW = 20
 SPACE = np.zeros(256, bool)
@@ -40,10 +40,10 @@ class Words:
         self.doc = np.repeat(np.arange(len(off) - 1), self.count)
         self.data = data
 
-    def hash(self) -> np.ndarray:
+    def hash(self, base: int = BASE) -> np.ndarray:
         """Prefix sums for hashes of word sequences."""
-        own = mix(range_hash(byte_hash(self.data), self.start, self.end)) if len(self.start) else np.zeros(0, np.uint64)
-        return prefix_hash(own)
+        own = mix(range_hash(byte_hash(self.data, base), self.start, self.end, base)) if len(self.start) else np.zeros(0, np.uint64)
+        return prefix_hash(own, base)
 
     def windows(self, length: int) -> np.ndarray:
         """Flags of words at which a window of `length` words of one document starts."""
@@ -89,39 +89,37 @@ def _survivors(w: Words, c: np.ndarray, part: int, window: int, repeated: np.nda
     return full & (sliding(np.minimum, np.where(repeated, h, top), inside, top) == sliding(np.minimum, h, inside, top))
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
-    """Replies (home, payload) that name each window start whose word sequence also starts earlier, and the number of homes."""
-    spark = docs.sparkSession
-    homes, reducers = extent(docs)
+def repeated_starts(rows: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
+    """Replies (home, payload) that name each window start whose word sequence also starts earlier, and the number of homes; rows: as `rows_of` makes them."""
+    spark = rows.sparkSession
+    homes, reducers = extent(rows)
     levels = [p for p in (window // 4, window // 2) if p > 1] or [window]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def ask(w: Words, ids: np.ndarray, key: np.ndarray, at: np.ndarray, first: bool) -> pa.RecordBatch:
-        doc = w.doc[at]
-        return entries(key[at], ids[doc], at - w.first[doc], reducers, homes, first)
+    def ask(w: Words, table, key: np.ndarray, check: np.ndarray | None, at: np.ndarray, first: bool) -> pa.RecordBatch:
+        row = w.doc[at]
+        return entries(key, check, row, at - w.first[row], column_of(table, "ident"), column_of(table, "doc_id"), reducers, homes, first)
 
     def begin(part: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(*text_bytes(part.column("text")))
         h, picks, _ = _level(w, w.hash(), levels[0], window)
-        return ask(w, doc_ids(part), h, np.flatnonzero(picks), False)
+        at = np.flatnonzero(picks)
+        return ask(w, part, h[at], None, at, False)
 
-    told = materialize(answer(per_slice(rows, begin, PACKED), homes))
+    told = materialize(answer(per_slice(rows, begin, PACKED, ("doc_id", "text", "ident")), homes))
     for part, longer in zip(levels, [*levels[1:], window]):
 
-        def extend(left: pa.Table, right: pa.Table, part=part, longer=longer) -> pa.Table:
-            w, ids = Words(*text_bytes(left.column("text"))), doc_ids(left)
+        def extend(left: pa.Table, right: list[bytes], part=part, longer=longer) -> pa.Table:
+            w, idents = Words(*text_bytes(left.column("text"))), column_of(left, "ident")
             c = w.hash()
-            doc, pos, _ = replies(right)
-            full = _survivors(w, c, part, window, marks(ids, w.first[:-1], doc, pos, len(w.doc)))
-            i = np.flatnonzero(full)
+            ident, pos, _ = replies(right)
+            full = _survivors(w, c, part, window, marks(idents, w.first[:-1], ident, pos, len(w.doc)))
+            at = np.flatnonzero(full)
             if longer == window:
-                key = np.zeros(len(full), np.uint64)
-                key[i] = mix(range_hash(c, i, i + window))
-                out = ask(w, ids, key, i, True)
+                out = ask(w, left, mix(range_hash(c, at, at + window)), check_bits(w.hash(SECOND_BASE), at, at + window), at, True)
             else:
                 h, picks, _ = _level(w, c, longer, window)
-                held = cover(i, window - longer + 1, len(full)) if len(full) else full
-                out = ask(w, ids, h, np.flatnonzero(picks & held), False)
+                at = np.flatnonzero(picks & (cover(at, window - longer + 1, len(full)) if len(full) else full))
+                out = ask(w, left, h[at], None, at, False)
             return pa.Table.from_batches([out])
 
         told = materialize(answer(at_homes(rows, told, homes, extend, PACKED), homes, first=longer == window))
@@ -132,38 +130,42 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, i
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
-def _kept(left: pa.Table, right: pa.Table, window: int) -> tuple[Words, np.ndarray]:
-    w = Words(*text_bytes(left.column("text")))
-    doc, pos, _ = replies(right)
-    start = np.flatnonzero(marks(doc_ids(left), w.first[:-1], doc, pos, len(w.doc)))
-    return w, ~cover(start, window, len(w.doc)) if len(w.doc) else np.zeros(0, bool)
+def _finish(table: pa.Table | pa.RecordBatch, told: list[bytes], window: int, digest: bool) -> list[pa.Array]:
+    w = Words(*text_bytes(table.column("text")))
+    ident, pos, _ = replies(told)
+    start = np.flatnonzero(marks(column_of(table, "ident"), w.first[:-1], ident, pos, len(w.doc)))
+    kept = ~cover(start, window, len(w.doc)) if len(w.doc) else np.zeros(0, bool)
+    raw = w.data.tobytes()
+    texts = []
+    for a, b in zip(w.first[:-1], w.first[1:]):
+        own = np.flatnonzero(kept[a:b]) + a
+        texts.append(b" ".join([raw[s:e] for s, e in zip(w.start[own].tolist(), w.end[own].tolist())]))
+    removed = np.concatenate(([0], np.cumsum(~kept)))
+    out = pa.array([hashlib.sha256(t).hexdigest() for t in texts] if digest else [t.decode() for t in texts], pa.string())
+    col = table.column("doc_id")
+    return [col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col, pa.array(w.count.astype(np.int64)), pa.array((removed[w.first[1:]] - removed[w.first[:-1]]).astype(np.int64)), out]
 
 
 def window_dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, and the kept words joined by one space (`kept`; with `digest` their SHA-256, `kept_sha256`).
 
-    A word goes if a window of `window` words over it also starts earlier, in a smaller doc_id or further ahead in the
-    same document; a null doc_id is the smallest.  Null texts have no words.  doc_id is taken as a key: of rows that share
-    it, places flagged in one are flagged in all that are long enough.
+    A word goes if a window of `window` words over it also starts earlier: in a row with a smaller doc_id, or further ahead
+    in the same row.  A null doc_id is the smallest.  Rows that share a doc_id (or have none) are neither earlier nor later
+    than each other, so repeated rows lose nothing to their copies.  Null, empty and shorter texts lose nothing.  An empty
+    table gives no rows; other columns of `docs`, whatever their names, are not read.  A text is held whole by one worker.
     """
-    told, homes = repeated_starts(docs, window)
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        w, kept = _kept(left, right, window)
-        raw = w.data.tobytes()
-        texts = []
-        for a, b in zip(w.first[:-1], w.first[1:]):
-            own = np.flatnonzero(kept[a:b]) + a
-            texts.append(b" ".join([raw[s:e] for s, e in zip(w.start[own].tolist(), w.end[own].tolist())]))
-        removed = np.concatenate(([0], np.cumsum(~kept)))
-        out = pa.array([hashlib.sha256(t).hexdigest() for t in texts] if digest else [t.decode() for t in texts], pa.string())
-        return pa.table([left.column("doc_id"), pa.array(w.count.astype(np.int64)), pa.array((removed[w.first[1:]] - removed[w.first[:-1]]).astype(np.int64)), out], names=_OUT.names)
-
-    out = at_homes(docs, told, homes, finish, "doc_id long, n_words long, n_removed long, kept string")
+    rows = rows_of(docs)
+    room = F.octet_length("text") >= 2 * window - 1
+    some, rest = rows.filter(room), rows.filter(~F.coalesce(room, F.lit(False)))  # texts without room for a window don't travel
+    told, homes = repeated_starts(some, window)
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    out = at_homes(some, told, homes, lambda left, right: pa.table(_finish(left, right, window, digest), schema=_OUT), schema)
+    out = out.unionByName(per_slice(rest, lambda part: pa.RecordBatch.from_arrays(_finish(part, [], window, digest), schema=_OUT), schema, ("doc_id", "text", "ident")))
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`window_dedup` of every whole text of `documents`, kept words as digests."""
     return window_dedup(documents(spark, sf_dir), digest=True)
 
 
