@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import documents, per_slice, text_bytes
+from kinfold.llm.common import documents, per_slice, slices, text_bytes
 
 
 def _zigzag() -> np.ndarray:
@@ -710,29 +710,39 @@ def _idct_weights() -> np.ndarray:
 IDCT = _idct_weights()
 
 
-def planes(image: Image) -> list[np.ndarray]:
-    """Samples of each component over its padded grid, 0 to 255."""
-    out = []
-    for c, (_, _, _, q) in enumerate(image.components):
-        _, _, gh, gw = image.grid(c)
-        v = (image.coefficients[c] * image.quantization[q]).astype(np.float64) @ IDCT  # whole numbers below 2**53: exact
-        s = np.clip(np.floor((v + 4096) / 8192) + 128, 0, 255).astype(np.uint8)
-        out.append(s.reshape(gh, gw, 8, 8).swapaxes(1, 2).reshape(8 * gh, 8 * gw))
+def planes(images: list[Image]) -> list[list[np.ndarray]]:
+    """Samples of each component of each image over its padded grid, 0 to 255; one product transforms all blocks."""
+    blocks = [im.coefficients[c] * im.quantization[x[3]] for im in images for c, x in enumerate(im.components)]
+    if not blocks:
+        return []
+    v = np.concatenate(blocks).astype(np.float64) @ IDCT  # whole numbers below 2**53: exact
+    s = np.clip(np.floor((v + 4096) / 8192) + 128, 0, 255).astype(np.uint8)
+    out, at = [], 0
+    for im in images:
+        own = []
+        for c in range(len(im.components)):
+            _, _, gh, gw = im.grid(c)
+            own.append(s[at : at + gh * gw].reshape(gh, gw, 8, 8).swapaxes(1, 2).reshape(8 * gh, 8 * gw))
+            at += gh * gw
+        out.append(own)
     return out
 
 
-def rgb(image: Image) -> np.ndarray:
-    """height x width x 3, chroma repeated to full resolution; one component gives grey."""
-    hm, vm = max(x[1] for x in image.components), max(x[2] for x in image.components)
-    full = []
-    for p, (_, h, v, _) in zip(planes(image), image.components):
-        p = np.repeat(np.repeat(p, vm // v, axis=0), hm // h, axis=1)
-        full.append(p[: image.height, : image.width].astype(np.int32))
-    if len(full) < 3:
-        return np.stack([full[0].astype(np.uint8)] * 3, axis=-1)
-    y, cb, cr = full[0] * 65536 + 32768, full[1] - 128, full[2] - 128
-    out = np.stack((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb), axis=-1) >> 16
-    return np.clip(out, 0, 255).astype(np.uint8)
+def rgb(images: list[Image]) -> list[np.ndarray]:
+    """height x width x 3 tensors, chroma repeated to full resolution; one component gives grey."""
+    tensors = []
+    for image, own in zip(images, planes(images)):
+        hm, vm = max(x[1] for x in image.components), max(x[2] for x in image.components)
+        full = [p.repeat(vm // v, axis=0).repeat(hm // h, axis=1)[: image.height, : image.width] for p, (_, h, v, _) in zip(own, image.components)]
+        out = np.empty((image.height, image.width, 3), np.uint8)
+        if len(full) < 3:
+            out[:] = full[0][:, :, None]
+        else:
+            y, cb, cr = full[0].astype(np.int32) * 65536 + 32768, full[1].astype(np.int32) - 128, full[2].astype(np.int32) - 128
+            for k, v in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
+                out[:, :, k] = np.clip(v >> 16, 0, 255)
+        tensors.append(out)
+    return tensors
 
 
 def decode_many(files: list[bytes]) -> list[Image]:
@@ -756,23 +766,9 @@ def payload_of(image: Image) -> np.ndarray:
     return (_flat(image).reshape(-1)[:n] + 128).astype(np.uint8)
 
 
-def unit_colours(flat: np.ndarray) -> np.ndarray:
-    """Sums of R, G and B over each 16 x 16 unit of 4:2:0 coefficients (units x 6 x 64, quantization steps 1): the same pixels as `rgb` gives."""
-    n = len(flat)
-    s = flat.reshape(-1, 64).astype(np.float64) @ IDCT
-    s = np.clip(np.floor((s + 4096) / 8192) + 128, 0, 255).astype(np.int32).reshape(n, 6, 8, 8)
-    chroma = np.repeat(np.repeat(s[:, 4:], 2, axis=2), 2, axis=3) - 128  # n, 2, 16, 16
-    chroma = chroma.reshape(n, 2, 2, 8, 2, 8).transpose(0, 1, 2, 4, 3, 5).reshape(n, 2, 4, 64)
-    y, cb, cr = s[:, :4].reshape(n, 4, 64) * 65536 + 32768, chroma[:, 0], chroma[:, 1]
-    return np.stack([np.clip(c >> 16, 0, 255).sum(axis=(1, 2)) for c in (y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)], axis=1)
-
-
-def features(images: list[Image]) -> list[str]:
-    """Height, width, and the sums of R, G and B over all pixels of the tensor, for images that `write_many` made."""
-    flats = [_flat(im) for im in images]
-    cuts = np.cumsum([len(f) // 6 for f in flats])[:-1]
-    sums = unit_colours(np.concatenate(flats).reshape(-1, 6, 64))
-    return [f"{im.height}x{im.width}:" + ",".join(map(str, part.sum(axis=0, dtype=np.int64).tolist())) for im, part in zip(images, np.split(sums, cuts))]
+def feature(tensor: np.ndarray) -> str:
+    """Height, width, and the sums of R, G and B over all pixels."""
+    return f"{tensor.shape[0]}x{tensor.shape[1]}:" + ",".join(map(str, tensor.sum(axis=(0, 1), dtype=np.int64).tolist()))
 
 
 # ---- DataFrames -----------------------------------------------------------------------------------------------------
@@ -782,7 +778,11 @@ def padded(data: np.ndarray) -> np.ndarray:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (binary): each whole text's payload as a progressive JPEG; null and empty texts are 64 zero bytes."""
+    """doc_id, n_bytes, media (binary): each whole text's payload as a progressive JPEG; null and empty texts are 64 zero bytes.
+
+    One row per row of `docs`, whatever its doc_id; an empty table gives none; other columns are not read.  A text is held
+    whole by one worker.
+    """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         data, off = text_bytes(part.column("text"))
@@ -793,21 +793,31 @@ def store(docs: DataFrame) -> DataFrame:
     return per_slice(rows, work, "doc_id long, n_bytes long, media binary")
 
 
+def _tensors(files: list[bytes | None]) -> list[np.ndarray | None]:
+    """The tensor of each file, None for a null or unreadable one; readable files are read side by side."""
+    some = [i for i, f in enumerate(files) if f]
+    out: list[np.ndarray | None] = [None] * len(files)
+    try:
+        for i, t in zip(some, rgb(decode_many([files[i] for i in some]))):
+            out[i] = t
+    except (ValueError, IndexError, KeyError):  # one of them is broken: each by itself
+        if len(some) > 1:
+            for i in some:
+                out[i] = _tensors([files[i]])[0]
+    return out
+
+
 def tensors(media: DataFrame) -> DataFrame:
-    """All columns of `media` and height, width, rgb (binary, height x width x 3): any progressive JPEG; null or unreadable media give nulls."""
-    from kinfold.llm.common import slices
+    """All columns of `media` and height, width, rgb (binary, height x width x 3): any progressive JPEG; null or unreadable media give nulls.
 
+    Columns of `media` with those names are replaced.  Repeated rows repeat; an empty table gives none.
+    """
     names = [c for c in media.columns if c not in ("height", "width", "rgb")]
 
     def run(batches):
         for b in batches:
             for part in slices(b, "media"):
-                rows = []
-                for f in part.column("media").to_pylist():
-                    try:
-                        rows.append(rgb(decode_many([f])[0]) if f else None)
-                    except (ValueError, IndexError, KeyError):
-                        rows.append(None)
+                rows = _tensors(part.column("media").to_pylist())
                 extra = [pa.array([None if r is None else r.shape[i] for r in rows], pa.int32()) for i in (0, 1)]
                 extra.append(pa.array([None if r is None else r.tobytes() for r in rows], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *extra], names=[*names, "height", "width", "rgb"])
@@ -816,9 +826,14 @@ def tensors(media: DataFrame) -> DataFrame:
     return media.select(*names).mapInArrow(run, schema)
 
 
-def digest(media: DataFrame) -> DataFrame:
-    """Reads stored media back: payload length and digests, and a feature of the RGB tensor."""
-    from kinfold.llm.common import slices
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb_sha256 string"
+
+
+def digest(media: DataFrame, with_rgb: bool = False) -> DataFrame:
+    """Reads what `store` wrote back: payload length and digests, the RGB tensor's height, width and digest, and a feature of it; with `with_rgb` the tensor too.
+
+    One row per row of `media`, whatever its doc_id; an empty table gives none.
+    """
 
     def run(batches):
         for b in batches:
@@ -826,15 +841,17 @@ def digest(media: DataFrame) -> DataFrame:
                 files = part.column("media").to_pylist()
                 images = decode_many(files)
                 rows = []
-                for f, im, x in zip(files, images, features(images)):
-                    p = payload_of(im)
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(f), hashlib.sha256(f).hexdigest(), x))
-                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *arrays], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                for f, im, t in zip(files, images, rgb(images)):
+                    p, raw = payload_of(im), t.tobytes()
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature(t), *t.shape[:2], hashlib.sha256(raw).hexdigest(), raw))
+                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+                arrays = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(types), types)][: len(types) - (not with_rgb)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *arrays], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = [x.split()[0] for x in DIGEST.split(", ")] + (["rgb"] if with_rgb else [])
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST + (", rgb binary" if with_rgb else ""))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`store` of every whole text of `documents`, read back by `digest`."""
     return digest(store(documents(spark, sf_dir)))

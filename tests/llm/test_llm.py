@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kinfold.llm import byte_bpe, exact_dedup, line_dedup, near_texts, packing, pii, progressive_jpeg, quality_fm, simhash, substring_dedup, window_dedup
+from kinfold.llm import byte_bpe, exact_dedup, line_dedup, packing, pii, progressive_jpeg, quality_fm, simhash, substring_dedup, window_dedup
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -80,10 +80,33 @@ def test_media_round_trip_and_pixels():
     payloads = [progressive_jpeg.padded(rng.integers(lo, hi, n, dtype=np.uint8)) for lo, hi, n in ((0, 256, 5000), (120, 136, 4000), (128, 129, 700), (0, 256, 1), (97, 123, 9000))]
     files = progressive_jpeg.write_many(payloads)
     together = progressive_jpeg.decode_many(files)
-    for p, f, im, x in zip(payloads, files, together, progressive_jpeg.features(together)):
+    for p, f, im, t in zip(payloads, files, together, progressive_jpeg.rgb(together)):
         assert np.array_equal(progressive_jpeg.payload_of(im), p)
-        t = progressive_jpeg.rgb(progressive_jpeg.decode_many([f])[0])
-        assert x == f"{im.height}x{im.width}:" + ",".join(str(int(t[:, :, c].sum())) for c in range(3))
+        assert np.array_equal(progressive_jpeg.rgb(progressive_jpeg.decode_many([f]))[0], t) and t.shape == (im.height, im.width, 3)
+
+
+def test_pixels_by_the_formula():
+    """Each pixel of a small image from the cosine sums and the colour formula, within the rounding of fixed-point weights."""
+    im = progressive_jpeg.decode_many(progressive_jpeg.write_many([progressive_jpeg.padded(np.random.default_rng(4).integers(118, 139, 300, dtype=np.uint8))]))[0]
+    own = []
+    for c, (_, h, v, q) in enumerate(im.components):
+        _, _, gh, gw = im.grid(c)
+        plane = np.zeros((8 * gh, 8 * gw))
+        for b in range(gh * gw):
+            f = np.zeros((8, 8))
+            for k, z in enumerate(progressive_jpeg.ZIGZAG):
+                f[z // 8, z % 8] = im.coefficients[c][b][k] * im.quantization[q][k]
+            for y in range(8):
+                for x in range(8):
+                    total = sum((0.5**0.5 if not u else 1) * (0.5**0.5 if not w else 1) * f[w, u] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * w * np.pi / 16) for u in range(8) for w in range(8) if f[w, u])
+                    plane[8 * (b // gw) + y, 8 * (b % gw) + x] = total / 4 + 128
+        own.append(np.clip(plane, 0, 255))
+    t = progressive_jpeg.rgb([im])[0].astype(int)
+    for y in range(0, im.height, 3):
+        for x in range(0, im.width, 3):
+            luma, cb, cr = own[0][y, x], own[1][y // 2, x // 2] - 128, own[2][y // 2, x // 2] - 128
+            want = np.clip([luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb], 0, 255)
+            assert np.abs(t[y, x] - want).max() <= 2.5
 
 
 def plain_decode(data):
@@ -186,6 +209,8 @@ def test_media_tensors(spark):
     df = spark.createDataFrame([(1, bytearray(f)), (2, None), (3, bytearray(b"junk"))], "doc_id long, media binary")
     r = {x.doc_id: x for x in progressive_jpeg.tensors(df).collect()}
     assert len(r[1].rgb) == r[1].height * r[1].width * 3 and r[2].rgb is None and r[3].rgb is None
+    kept = progressive_jpeg.digest(progressive_jpeg.store(frame(spark, ["a text", None])), with_rgb=True).collect()
+    assert all(hashlib.sha256(x.rgb).hexdigest() == x.rgb_sha256 and len(x.rgb) == 3 * x.height * x.width for x in kept)
 
 
 # ---- 2
@@ -415,7 +440,7 @@ def plain_shingles(t):
 
 @pytest.mark.parametrize("crowd", [16, 2])
 def test_pipeline_links_texts_of_four_fifths(spark, monkeypatch, crowd):
-    monkeypatch.setattr(near_texts, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "MANY", crowd)
     rng = random.Random(3)
     texts = []
     for _ in range(40):
