@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import line_dedup, near_texts, packing, pii, quality_fm
-from kinfold.llm.common import materialize
+from kinfold.llm import line_dedup, packing, pii, quality_fm, simhash
+from kinfold.llm.common import NULL_DOC, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,14 +32,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates (0.8 or more of five-word shingles) stays, once."""
-    own = near_texts.near_duplicates(docs)
-    kept = own.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    twice = materialize(own.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"))
-    if twice.isEmpty():  # doc_id is a key
-        return rows.select(*COLUMNS)
-    return rows.select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates (0.8 or more of five-word shingles) stays, the one with the smallest doc_id.
+
+    Of rows that agree in doc_id and text one stays.  Rows that share a doc_id, or have none, but not the text are documents
+    of their own.
+    """
+    own = materialize(simhash.similar_texts(docs).filter("kept").groupBy("ident").agg(F.count("*").alias("n")))
+    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)), F.coalesce("text", F.lit(""))).alias("ident"))
+    out = rows.join(own.filter("n = 1"), "ident", "left_semi").select(*COLUMNS)
+    twice = own.filter("n > 1")
+    return out if twice.isEmpty() else out.unionByName(rows.join(twice, "ident", "left_semi").dropDuplicates(["ident"]).select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
