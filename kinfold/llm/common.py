@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one worker holds in numpy form at a time (a single longer text is held whole).
@@ -179,13 +179,23 @@ REPLY_SCHEMA = pa.schema([("home", pa.int32()), ("payload", pa.binary())])
 NARROW = np.uint64((1 << 48) - 1)
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id (bigint), text, and `ident`, a hash of both that names a row: rows that share a doc_id but not the text are rows of their own.
+def ident_of(docs: DataFrame) -> Column:
+    """A bigint that names a row: rows that share a doc_id but not the text are rows of their own.
 
-    Rows that agree in both have one ident; they are alike in every place and get the same answers.
+    Where doc_id is a key (never null, repeated or negative, which one small aggregation tells), it is doc_id itself, which
+    travels best; else a negative hash of doc_id and text.  Rows that agree in both have one ident; they are alike in every
+    place and get the same answers.
     """
     doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(doc.alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(doc, F.lit(NULL_DOC)), F.coalesce(text, F.lit(""))).alias("ident"))
+    odd = docs.select(doc.alias("d")).groupBy("d").agg(F.count("*").alias("n")).filter("n > 1 OR d IS NULL OR d < 0")
+    if odd.isEmpty():
+        return doc
+    return F.xxhash64(F.coalesce(doc, F.lit(NULL_DOC)), F.coalesce(text, F.lit(""))).bitwiseOR(F.lit(-(2**63)))
+
+
+def rows_of(docs: DataFrame, ident: Column | None = None) -> DataFrame:
+    """doc_id (bigint), text, and `ident`."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (ident_of(docs) if ident is None else ident).alias("ident"))
 
 
 def column_of(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
@@ -195,63 +205,66 @@ def column_of(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     return np.asarray(col.fill_null(NULL_DOC).to_numpy(zero_copy_only=False), np.int64)
 
 
-def pack(runs: dict[str, np.ndarray], columns: dict[str, np.ndarray]) -> bytes:
-    """Columns stored one after another.  Columns in `runs` change together and seldom: each stretch is stored once.
+def _steps(v: np.ndarray) -> bytes:
+    """Whole numbers as their first one and differences, of as few bytes as they take."""
+    v = np.asarray(v, np.int64)
+    step = np.diff(v)
+    far = max(int(step.max()), -int(step.min())) if len(step) else 0
+    size = 2 if far < 1 << 15 else 4 if far < 1 << 31 else 8
+    return bytes([size]) + (v[:1] if size < 8 else v).tobytes() + (step.astype(f"<i{size}") if size < 8 else v[:0]).tobytes()
 
-    `pos` is stored as steps of two bytes where it changes by -32768 to 32767 at a time.
-    """
+
+def _unstep(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    size = blob[at]
+    if size == 8 or not n:
+        return np.frombuffer(blob, "<i8", n, at + 1), at + 1 + 8 * n
+    step = np.frombuffer(blob, f"<i{size}", n - 1, at + 9)
+    return np.cumsum(np.concatenate((np.frombuffer(blob, "<i8", 1, at + 1), step)), dtype=np.int64), at + 9 + size * (n - 1)
+
+
+def pack(runs: dict[str, np.ndarray], columns: dict[str, np.ndarray]) -> bytes:
+    """Columns stored one after another.  Columns in `runs` change together and seldom: each stretch is stored once; `pos` as steps."""
     lead = next(iter(runs.values()))
     n = len(lead)
     at = np.flatnonzero(np.concatenate(([True], lead[1:] != lead[:-1]))) if n else np.zeros(0, np.int64)
-    out = [n.to_bytes(4, "little"), len(at).to_bytes(4, "little"), np.diff(np.append(at, n)).astype("<u4").tobytes()]
-    out += [np.ascontiguousarray(v[at], "<i8").tobytes() for v in runs.values()]
-    for k, v in columns.items():
-        if k == "pos":
-            step = np.diff(v.astype(np.int64))
-            if n and len(step) and step.min() >= -32768 and step.max() < 32768:
-                out += [b"\1", int(v[0]).to_bytes(4, "little"), step.astype("<i2").tobytes()]
-                continue
-            out.append(b"\0")
-        out.append(np.ascontiguousarray(v).tobytes())
+    count = np.diff(np.append(at, n))
+    short = not n or int(count.max()) < 256
+    out = [n.to_bytes(4, "little"), len(at).to_bytes(4, "little"), bytes([short]), count.astype("u1" if short else "<u4").tobytes()]
+    out += [_steps(v[at]) for v in runs.values()]
+    out += [_steps(v) if k == "pos" else np.ascontiguousarray(v).tobytes() for k, v in columns.items()]
     return b"".join(out)
 
 
 def unpack(blob: bytes, runs: tuple[str, ...], dtypes: dict[str, str]) -> dict[str, np.ndarray]:
-    n, m = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
-    counts, at, out = np.frombuffer(blob, "<u4", m, 8), 8 + 4 * m, {}
+    n, m, short, out = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little"), blob[8], {}
+    counts, at = np.frombuffer(blob, "u1" if short else "<u4", m, 9), 9 + (m if short else 4 * m)
     for k in runs:
-        out[k] = np.repeat(np.frombuffer(blob, "<i8", m, at), counts)
-        at += 8 * m
+        values, at = _unstep(blob, at, m)
+        out[k] = np.repeat(values, counts)
     for k, d in dtypes.items():
         if k == "pos":
-            at += 1
-            if blob[at - 1]:
-                steps = np.frombuffer(blob, "<i2", n - 1, at + 4).astype(np.int64)
-                out[k] = (int.from_bytes(blob[at : at + 4], "little") + np.concatenate(([0], np.cumsum(steps)))).astype(d)
-                at += 4 + 2 * (n - 1)
-                continue
-        out[k] = np.frombuffer(blob, d, n, at)
-        at += n * np.dtype(d).itemsize
+            values, at = _unstep(blob, at, n)
+            out[k] = values.astype(d)
+        else:
+            out[k] = np.frombuffer(blob, d, n, at)
+            at += n * np.dtype(d).itemsize
     return out
 
 
-ENTRY_RUNS = ("ident", "doc")
 NARROW_COLUMNS = {"pos": "<u4", "low": "<u4", "high": "<u2", "tag": "u1"}
 WIDE_COLUMNS = {"pos": "<u4", "key": "<u8", "check": "<u2", "tag": "u1"}
 
 
 def read_entries(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    """ident, doc, pos, key, check and tag of all blobs; the first byte of a blob tells narrow keys from wide ones."""
+    """ident, doc, pos, key, check and tag of all blobs; a blob's first byte tells wide keys (1) and whether it names the doc (2)."""
     parts = []
     for b in blobs:
-        if b[0]:
-            parts.append(unpack(b[1:], ENTRY_RUNS, WIDE_COLUMNS))
-        else:
-            p = unpack(b[1:], ENTRY_RUNS, NARROW_COLUMNS)
+        p = unpack(b[1:], ("ident", "doc") if b[0] & 2 else ("ident",), WIDE_COLUMNS if b[0] & 1 else NARROW_COLUMNS)
+        if not b[0] & 1:
             p["key"] = p.pop("low").astype(np.uint64) | (p.pop("high").astype(np.uint64) << np.uint64(32))
             p["check"] = np.zeros(len(p["tag"]), np.uint16)
-            parts.append(p)
-    return {c: np.concatenate([p[c] for p in parts]) for c in ("ident", "doc", "pos", "key", "check", "tag")}
+        parts.append(p)
+    return {c: np.concatenate([p[c] for p in parts]) for c in ("ident", "doc", "pos", "key", "check", "tag") if c in parts[0]}
 
 
 def blobs_by(groups: np.ndarray, make: Callable[[np.ndarray], bytes], schema: pa.Schema) -> pa.RecordBatch:
@@ -271,13 +284,28 @@ def reply_rows(home: np.ndarray, ident: np.ndarray, pos: np.ndarray, tag: np.nda
     return blobs_by(home, lambda i: pack({"ident": ident[i]}, {"pos": pos[i], "tag": tag[i]}), schema)
 
 
+def xxhash64_long(x: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for a bigint (XXH64 of its eight bytes, seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    rot = lambda v, n: (v << np.uint64(n)) | (v >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h = np.uint64(42) + p5 + np.uint64(8)
+        h = h ^ (rot(x.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+        h = rot(h, 27) * p1 + p4
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        return h ^ (h >> np.uint64(32))
+
+
 def homes_of(ident: np.ndarray, homes: int | None) -> np.ndarray:
     """The home of each row; without a number of homes `ident` is the home itself."""
-    return ident if homes is None else ident % np.int64(homes)
+    return ident if homes is None else xxhash64_long(ident).view(np.int64) % np.int64(homes)
 
 
 def home_column(homes: int):
-    return F.pmod(F.col("ident"), F.lit(homes).cast("long")).cast("int")
+    return F.pmod(F.xxhash64("ident"), F.lit(homes).cast("long")).cast("int")
 
 
 def _repeated(key: np.ndarray, check: np.ndarray | None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -315,7 +343,8 @@ def entries(key: np.ndarray, check: np.ndarray | None, row: np.ndarray, pos: np.
     row: the place of each entry's row in `ident` and `doc`, never falling.  check: further bits of the key; without it
     keys are narrow.  Keys that repeat within this slice are answered here: their first place asks on behalf of all, so that
     a key which fills the corpus sends one entry from each slice.  known: entries that tell others a key is repeated and need
-    no answer.  copies: the reducers mark one place of each repeated key, which must then not be answered here as well.
+    no answer but, with a tag of 2, that they were of use.  copies: the reducers mark one place of each repeated key, which must
+    then not be answered here as well.
     """
     if check is None:
         key = key & NARROW
@@ -343,13 +372,13 @@ def entries(key: np.ndarray, check: np.ndarray | None, row: np.ndarray, pos: np.
         by = np.argsort(ask)
         ask, tags = ask[by], tags[by]
     k, r, p = key[ask], row[ask], pos[ask].astype("<u4")
-    who, whose = ident[r], doc[r]
+    runs = {"ident": ident[r]} | ({"doc": doc[r]} if first else {})
     if check is None:
-        low, high = k.astype("<u4"), (k >> np.uint64(32)).astype("<u2")
-        make = lambda i: b"\0" + pack({"ident": who[i], "doc": whose[i]}, {"pos": p[i], "low": low[i], "high": high[i], "tag": tags[i]})
+        columns = {"pos": p, "low": k.astype("<u4"), "high": (k >> np.uint64(32)).astype("<u2"), "tag": tags}
     else:
-        c = check[ask].astype("<u2")
-        make = lambda i: b"\1" + pack({"ident": who[i], "doc": whose[i]}, {"pos": p[i], "key": k[i], "check": c[i], "tag": tags[i]})
+        columns = {"pos": p, "key": k, "check": check[ask].astype("<u2"), "tag": tags}
+    kind = bytes([(check is not None) + 2 * first])
+    make = lambda i: kind + pack({c: v[i] for c, v in runs.items()}, {c: v[i] for c, v in columns.items()})
     asked = blobs_by(((k & np.uint64(0xFFFFFFFF)) % np.uint64(reducers)).astype(np.int64), make, PACKED_SCHEMA)
     if not len(told):
         return asked
@@ -358,7 +387,10 @@ def entries(key: np.ndarray, check: np.ndarray | None, row: np.ndarray, pos: np.
 
 
 def answer(asked: DataFrame, homes: int | None, first: bool = False) -> DataFrame:
-    """Rows (home, payload) that name the places `entries` asked for; tag 1 marks one place of each repeated key."""
+    """Rows (home, payload) that name the places `entries` asked for.
+
+    Tag 1 marks one place of each repeated key; tag 2 a place that was known before and whose key others asked for.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         r = table.column("r")[0].as_py()
@@ -374,8 +406,10 @@ def answer(asked: DataFrame, homes: int | None, first: bool = False) -> DataFram
             at = np.flatnonzero(head)
             count = np.diff(np.append(at, len(order)))
             again = (count > 1) | (np.maximum.reduceat(e["tag"][order], at) > 0)
-            some = np.repeat(again, count) & (e["tag"][order] < 2)
-            told, tag = order[some], head[some].astype(np.uint8)
+            asks = np.repeat(np.minimum.reduceat(e["tag"][order], at) < 2, count)
+            some = np.repeat(again, count) & ((e["tag"][order] < 2) | asks)
+            told = order[some]
+            tag = np.where(e["tag"][told] == 2, 2, head[some]).astype(np.uint8)
         ident = e["ident"][told]
         return pa.Table.from_batches([reply_rows(homes_of(ident, homes), ident, e["pos"][told], tag, REPLY_SCHEMA)])
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import BASE, NULL_DOC, PACKED, PACKED_SCHEMA, SECOND_BASE, blobs_by, column_of, documents, materialize, mix, per_slice, prefix_hash, range_hash, release_shuffles, rows_of
+from kinfold.llm.common import BASE, NULL_DOC, PACKED, PACKED_SCHEMA, SECOND_BASE, blobs_by, column_of, documents, ident_of, materialize, mix, per_slice, prefix_hash, range_hash, release_shuffles, rows_of
 
 #: Shorter lines (in characters) are never removed; below FUZZY, where one edit often makes another fact, they are compared for equality only.
 SHORTEST = 10
@@ -258,8 +258,8 @@ def line_dedup(docs: DataFrame, shortest: int = SHORTEST, fuzzy: int = FUZZY) ->
     `docs` keep their names and order; its own n_lines and n_removed are replaced.  A text is held whole by one worker.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    kept = materialize(kept_places(rows_of(docs), shortest, fuzzy)).groupBy("ident").agg(F.collect_list("line").alias("_kinfold_kept"))  # no longer than the document
-    ident = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    ident = ident_of(docs)
+    kept = materialize(kept_places(rows_of(docs, ident), shortest, fuzzy)).groupBy("ident").agg(F.collect_list("line").alias("_kinfold_kept"))  # no longer than the document
     joined = docs.select(*names, ident.alias("_kinfold_ident")).join(kept.withColumnRenamed("ident", "_kinfold_ident").hint("merge"), "_kinfold_ident", "left")
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -9,7 +9,8 @@ starts in a phrase repeats if the phrase and what follows it do:
 1. phrases, and phrases with what follows them (the `span` of all strings that start in one), are hashed and grouped over
    the corpus;
 2. strings in repeated spans are settled; strings that hold a phrase found once are settled too; the rest (the seams
-   between repeated and other text) are hashed one by one and grouped, together with one copy of each repeated span;
+   between repeated and other text) are hashed one by one and grouped, together with one copy of each repeated span,
+   first by 48 bits of their hashes and then, where those agree, by 80;
 3. the flagged starts mark the bytes to remove.
 
 Nothing is ordered in one place: hashes go to reducers in packed form, one from each slice for each distinct string.
@@ -118,17 +119,29 @@ def repeated_strings(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
         _, still, copies = _sorted_out(parse, idents, right, length)
         i = np.flatnonzero(still | copies)
         home = homes_of(idents[:1], homes)
-        check = check_bits(byte_hash(data, SECOND_BASE), i, i + length)
-        return pa.Table.from_batches([entries(mix(range_hash(parse.c, i, i + length)), check, np.zeros(len(i), np.int64), i, home, home, reducers, None, known=copies[i])])
+        return pa.Table.from_batches([entries(mix(range_hash(parse.c, i, i + length)), None, np.zeros(len(i), np.int64), i, home, home, reducers, None, known=copies[i])])
 
-    open_starts = materialize(answer(at_homes(rows, phrases, homes, seams, PACKED), None))
+    likely = materialize(answer(at_homes(rows, phrases, homes, seams, PACKED), None))
+    release_shuffles(spark)
+
+    def confirm(left: pa.Table, right: list[bytes]) -> pa.Table:
+        data, _ = text_bytes(left.column("text"))
+        home = homes_of(column_of(left, "ident")[:1], homes)
+        _, pos, tag = replies(right)
+        order = np.argsort(pos)
+        i, known = pos[order].astype(np.int64), tag[order] == 2
+        key, check = mix(range_hash(byte_hash(data), i, i + length)), check_bits(byte_hash(data, SECOND_BASE), i, i + length)
+        return pa.Table.from_batches([entries(key, check, np.zeros(len(i), np.int64), i, home, home, reducers, None, known=known)])
+
+    # narrow keys of different strings may agree: the few places found are asked for once more with wide ones
+    open_starts = materialize(answer(at_homes(rows, likely, homes, confirm, PACKED), None))
     release_shuffles(spark)
 
     def mark(batches):
         for b in batches:
             out = []
             for blob in b.column("payload").to_pylist():
-                ident, pos, _ = replies([blob])
+                ident, pos, _ = replies([blob])  # places that were known before are repeated as well
                 out.append(pack({"ident": ident}, {"pos": pos, "tag": np.full(len(pos), 2, np.uint8)}))
             yield pa.RecordBatch.from_arrays([b.column("home"), pa.array(out, pa.binary())], schema=REPLY_SCHEMA)
 
