@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import line_dedup, packing, pii, quality_fm, simhash
-from kinfold.llm.common import NULL_DOC, materialize
+from kinfold.llm.common import ident_of, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     of their own.
     """
     own = materialize(simhash.similar_texts(docs).filter("kept").groupBy("ident").agg(F.count("*").alias("n")))
-    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)), F.coalesce("text", F.lit(""))).alias("ident"))
+    rows = docs.select(*COLUMNS, ident_of(docs).alias("ident"))
     out = rows.join(own.filter("n = 1"), "ident", "left_semi").select(*COLUMNS)
     twice = own.filter("n > 1")
     return out if twice.isEmpty() else out.unionByName(rows.join(twice, "ident", "left_semi").dropDuplicates(["ident"]).select(*COLUMNS))
