@@ -201,6 +201,6 @@ def q_stream(spark, d):
     return stream_counts(fx.genotypes(spark, d))
 
 
-@query("king_dense", f"WITH {KING_SQL} SELECT id1, id2, nsnp, hethet, ibs0, het1, het2 FROM kc")
-def q_king_dense(spark, d):
-    return re_.king_counts_dense(fx.genotypes(spark, d), fx.samples(spark, d).count())
+@query("king_counts", f"WITH {KING_SQL} SELECT id1, id2, nsnp, hethet, ibs0, het1, het2 FROM kc")
+def q_king_counts(spark, d):
+    return re_.king_counts(fx.genotypes(spark, d))

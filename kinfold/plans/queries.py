@@ -210,10 +210,10 @@ y4 AS (SELECT pop1, pop2, pop3, pop4, pop5, any_value(est) AS alpha, sqrt(avg(po
 RATIO_SQL = RATIO_SQL.replace("any_value(est) AS alpha", "max(est) AS alpha").replace("GROUP BY ALL", "GROUP BY pop1, pop2, pop3, pop4, pop5")
 
 
-@query("f4_ratio", f"WITH {RATIO_SQL} SELECT pop1, pop2, pop3, pop4, pop5, {R('alpha', 4)} AS alpha FROM y4")
+@query("f4_ratio", f"WITH {RATIO_SQL} SELECT pop1, pop2, pop3, pop4, pop5, {R('alpha', 4)} AS alpha, {R('se', 3)} AS se, {R('alpha / se', 3)} AS z FROM y4")
 def q_ratio(spark, d):
     q5 = quartets(spark, d).join(fx.samples(spark, d).select(F.col("pop").alias("pop5")).distinct(), ~F.col("pop5").isin(F.col("pop1"), F.col("pop2"), F.col("pop3"), F.col("pop4")))
-    return _round(fs.f4_ratio(tensor(spark, d), q5), "alpha", digits=4).select("pop1", "pop2", "pop3", "pop4", "pop5", "alpha")
+    return _round(_round(fs.f4_ratio(tensor(spark, d), q5), "alpha", digits=4), "se", "z", digits=3)
 
 
 DSTAT_SQL = COUNTS_SQL + BLOCK_SQL + QUART_SQL + """, af AS (SELECT snp_idx, pop, ac / (2.0 * n) AS q FROM counts),
@@ -326,7 +326,7 @@ def q_king(spark, d):
 def q_king_pairs(spark, d):
     s = fx.samples(spark, d)
     wanted = s.select((F.col("sample_idx") + 1).alias("id1"), F.col("sample_idx").alias("id2"))
-    return _round(re_.kinship(re_.only_pairs(re_.king_counts(fx.genotypes(spark, d)), wanted)), "phi")
+    return _round(re_.kinship(re_.king_counts(fx.genotypes(spark, d), wanted)), "phi")
 
 
 @query("kinship_min", f"WITH {KING_SQL} SELECT {KIN_COLS} FROM kp WHERE phi >= 0.0442")
@@ -351,10 +351,10 @@ def q_mismatch(spark, d):
     return re_.mismatch_windows(fx.genotypes(spark, d).select("snp_idx", "sample_idx", "hap"), re_.snp_order(fx.snps(spark, d)).select("snp_idx", "ord"), 100)
 
 
-@query("readv2", f"WITH {RV2_SQL} SELECT id1, id2, n_windows, n_overlap, {R('p0_mean')} AS p0_mean, {R('p0_mean / bg')} AS p0_norm, CASE WHEN p0_mean / bg < 0.625 THEN 'identical' WHEN p0_mean / bg < 0.8125 THEN 'first' WHEN p0_mean / bg < 0.90625 THEN 'second' ELSE 'unrelated' END AS degree FROM s, b")
+@query("readv2", f"WITH {RV2_SQL} SELECT id1, id2, n_windows, n_overlap, {R('p0_mean')} AS p0_mean, {R('p0_mean / bg')} AS p0_norm, CASE WHEN p0_mean / bg < 0.625 THEN 'identical' WHEN p0_mean / bg < 0.8125 THEN 'first' WHEN p0_mean / bg < 0.90625 THEN 'second' ELSE 'unrelated' END AS degree, {R("(CASE WHEN p0_mean / bg < 0.625 THEN 0.625 WHEN p0_mean / bg < 0.8125 THEN 0.8125 ELSE 0.90625 END - p0_mean / bg) / nullif(sqrt(greatest((s2 - s1 * s1 / n_windows) / nullif(n_windows - 1, 0), 0.0)) / sqrt(n_windows) / bg, 0)", 4)} AS z FROM s, b")
 def q_readv2(spark, d):
-    w = re_.mismatch_windows(fx.genotypes(spark, d).select("snp_idx", "sample_idx", "hap"), re_.snp_order(fx.snps(spark, d)).select("snp_idx", "ord"), 100)
-    return _round(re_.readv2(w), "p0_mean", "p0_norm").drop("z")
+    rates = re_.pair_rates(fx.genotypes(spark, d).select("snp_idx", "sample_idx", "hap"), re_.snp_order(fx.snps(spark, d)).select("snp_idx", "ord"), 100)
+    return _round(_round(re_.readv2(rates), "p0_mean", "p0_norm"), "z", digits=4)
 
 
 @query("ld_pairs", f"WITH {GENO_SQL}, f AS (SELECT snp_idx, sum(dosage) / (2.0 * count(*)) AS q FROM geno GROUP BY snp_idx), o AS (SELECT snp_idx, chrom, row_number() OVER (PARTITION BY chrom ORDER BY pos_bp) - 1 AS ord FROM snps JOIN f USING (snp_idx) WHERE q > 0 AND q < 1), p AS (SELECT a.chrom, a.ord AS a, b.ord AS b, count(*) AS n, sum(x.dosage) AS sx, sum(y.dosage) AS sy, sum(x.dosage * x.dosage) AS sxx, sum(y.dosage * y.dosage) AS syy, sum(x.dosage * y.dosage) AS sxy FROM o a JOIN o b ON a.chrom = b.chrom AND b.ord - a.ord BETWEEN 1 AND 9 JOIN geno x ON x.snp_idx = a.snp_idx JOIN geno y ON y.snp_idx = b.snp_idx AND y.sample_idx = x.sample_idx GROUP BY 1, 2, 3) SELECT chrom, a, b FROM p WHERE CAST(n * sxy - sx * sy AS DOUBLE) * (n * sxy - sx * sy) > 0.5 * (1 + pow(2.0, -44)) * CAST(n * sxx - sx * sx AS DOUBLE) * (n * syy - sy * sy)")

@@ -39,11 +39,17 @@ def test_king_duplicate_and_relabel(spark):
     assert (flipped.hethet, flipped.ibs0, flipped.nsnp) == (k.hethet, k.ibs0, k.nsnp)
 
 
-def test_king_dense_equals_sparse(spark):
+def test_king_by_tiles_equals_pairs(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(int(i), int(s), int(rng.integers(0, 3))) for i in range(40) for s in range(9) if rng.random() > 0.2]
     g = spark.createDataFrame(rows, "snp_idx long, sample_idx long, dosage int")
-    assert sorted(relatedness.king_counts(g).collect()) == sorted(relatedness.king_counts_dense(g, 9).collect())
+    every = g.select('sample_idx').distinct()
+    pairs = every.withColumnRenamed('sample_idx', 'id2').join(every.withColumnRenamed('sample_idx', 'id1'), F.lit(True))
+    whole = sorted(relatedness.king_counts(g).collect())
+    assert whole == sorted(relatedness.king_counts(g, pairs).collect())
+    monkeypatch.setattr(relatedness, 'TILE', 4)
+    monkeypatch.setattr(relatedness, 'GROUP', 50)
+    assert whole == sorted(relatedness.king_counts(g).collect())
 
 
 def test_king_cutoff(spark):
