@@ -114,6 +114,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`exact_dedup` of every whole text of `documents`."""
     return exact_dedup(documents(spark, sf_dir))
 
 

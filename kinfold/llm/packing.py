@@ -97,7 +97,11 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """The pieces of every text: doc_id, piece, start, length, ids_crc32, and ids if asked for.  A null text is empty and has one piece, the closing 0."""
+    """The pieces of every text: doc_id, piece, start, length, ids_crc32, and ids if asked for.
+
+    A null or empty text has one piece, the closing 0.  Repeated rows, and rows without a doc_id, have pieces of their own.
+    An empty table has none; other columns, whatever their names, are not read.  A text is held whole by one worker.
+    """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         tok = tokenizer(path)
@@ -230,4 +234,5 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pack_documents` of every whole text of `documents`."""
     return pack_documents(documents(spark, sf_dir))

@@ -112,8 +112,10 @@ ABSTAIN, NO, YES = 0, 1, 2
 LABELERS = ("pattern", "gazetteer", "context", "checksum")
 
 
-#: Beforehand: how often a labeler votes yes on a true span, and on a false one.  A failed checksum all but rules a span out.
-BELIEF = {"pattern": (0.9, 0.1), "gazetteer": (0.9, 0.2), "context": (0.9, 0.6), "checksum": (0.999, 0.05)}
+#: Where expectation-maximisation starts: how often a labeler votes yes on a true span, and on a false one.
+START = {"pattern": (0.9, 0.1), "gazetteer": (0.9, 0.2), "context": (0.9, 0.6), "checksum": (0.95, 0.1)}
+#: Votes that the start counts as, however many there are; a corpus outweighs it.
+START_VOTES = 20.0
 
 
 def _side(c: str) -> int:
@@ -171,28 +173,32 @@ def pattern_counts(docs: DataFrame) -> DataFrame:
     return per_slice(docs, work, "pattern long, n long", ("text",)).groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
-def reliabilities(rows: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """P(true) of each pattern by expectation-maximisation, kind by kind, over the labelers' votes."""
-    out = np.full(len(rows), 0.5)
+def estimate(rows: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, dict[tuple[str, str], tuple[float, float]]]:
+    """P(true) of each pattern, and by kind and labeler how often it votes yes on true and on false spans, by expectation-maximisation.
+
+    Spans and labelers are all that it knows: a kind's share of true spans and each labeler's two rates start from START and
+    are then re-estimated from all votes.  An abstention says nothing.
+    """
+    out, rates = np.full(len(rows), 0.5), {}
     for kind in range(len(KINDS)):
         own = rows[:, 0] == kind
         if not own.any():
             continue
         v, w = rows[own, 1:5], n[own].astype(float)
-        p = np.where((v == YES).sum(axis=1) > (v == NO).sum(axis=1), 0.9, 0.1)
+        yes, cast = v == YES, v != ABSTAIN
+        hit, miss = (np.array([START[x][k] for x in LABELERS]) for k in (0, 1))
+        prior = 0.5
         for _ in range(rounds):
-            prior = np.clip((w @ p) / w.sum(), 0.05, 0.8)
-            log = np.log(prior / (1 - prior)) * np.ones(len(p))
-            for j in range(v.shape[1]):
-                yes, cast = v[:, j] == YES, v[:, j] != ABSTAIN
-                right, wrong = BELIEF[LABELERS[j]]
-                weight = w.sum() * (20 if LABELERS[j] == "checksum" else 0.5)  # belief counts as half as many votes; arithmetic outweighs them
-                hit = ((w * p * cast) @ yes + right * weight) / ((w * p) @ cast + weight)
-                miss = ((w * (1 - p) * cast) @ yes + wrong * weight) / ((w * (1 - p)) @ cast + weight)
-                log += np.where(cast, np.where(yes, np.log(hit / miss), np.log(np.clip(1 - hit, 1e-6, 1) / np.clip(1 - miss, 1e-6, 1))), 0)
+            log = np.log(prior / (1 - prior)) + np.where(cast, np.where(yes, np.log(hit / miss), np.log((1 - hit) / (1 - miss))), 0).sum(axis=1)
             p = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
+            prior = np.clip((w @ p + START_VOTES / 2) / (w.sum() + START_VOTES), 1e-3, 1 - 1e-3)
+            started = [np.array([START[x][k] for x in LABELERS]) * START_VOTES for k in (0, 1)]
+            hit = ((w * p) @ (yes & cast) + started[0]) / ((w * p) @ cast + START_VOTES)
+            miss = ((w * (1 - p)) @ (yes & cast) + started[1]) / ((w * (1 - p)) @ cast + START_VOTES)
+            hit, miss = np.clip(hit, 1e-4, 1 - 1e-4), np.clip(miss, 1e-4, 1 - 1e-4)
         out[own] = p
-    return out
+        rates |= {(KINDS[kind], x): (float(a), float(b)) for x, a, b in zip(LABELERS, hit, miss)}
+    return out, rates
 
 
 def _features(rows: np.ndarray) -> np.ndarray:
@@ -211,7 +217,7 @@ def train(counts: dict[int, int]) -> dict[int, float]:
     keys = np.array(sorted(counts), np.int64)
     rows = np.stack(np.unravel_index(keys, SIZES), axis=1)
     n = np.array([counts[int(k)] for k in keys], float)
-    soft = reliabilities(rows, n)
+    soft, _ = estimate(rows, n)
     x = _features(rows)
     w, g = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-6)
     weight = np.log1p(n) / np.log1p(n).sum()
@@ -243,7 +249,12 @@ _SPANS = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BA
 
 
 def find(docs: DataFrame, model: dict[int, float]) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; a null or empty text has none, repeated rows repeat."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row of `docs`, whatever its doc_id.
+
+    A null or empty text has no spans (and the digest of no bytes).  Spans of different kinds may overlap; added ones overlap
+    nothing.  An empty table gives no rows; other columns, whatever their names, are not read.  A text is held whole by one
+    worker.
+    """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in range(6)]
@@ -259,7 +270,7 @@ def find(docs: DataFrame, model: dict[int, float]) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: dict[int, float]) -> DataFrame:
-    """`docs` with every span replaced by its kind in angle brackets; other columns and null texts stay as they are."""
+    """`docs` with every span replaced by its kind in angle brackets; other columns, null texts, and rows that repeat stay as they are."""
     names = docs.columns
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -280,5 +291,6 @@ def redact(docs: DataFrame, model: dict[int, float]) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`find` in every whole text of `documents`, by a model fitted to the votes of all of them."""
     docs = documents(spark, sf_dir)
     return find(docs, fit(docs))

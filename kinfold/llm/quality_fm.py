@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import byte_hash, documents, mix, per_slice, prefix_hash, range_hash, slices, text_bytes
+from kinfold.llm.common import byte_hash, documents, materialize, mix, per_slice, prefix_hash, range_hash, slices, text_bytes
 
 RANK = 8
 BUCKETS = 1 << 15
 #: Labelled rows of each label that the model is fitted on, at most.
 PER_LABEL = 2500
+#: Features of those rows together, at most, for each label (8 bytes each): very long texts leave room for fewer rows.
+FEATURES = 6_000_000
 THRESHOLD = 0.7
 EPOCHS = 6
 
@@ -134,8 +136,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Machine:
-    """Fits on labelled rows whose crc32(doc_id as text) mod 4 is not 2.  Rows without a quality or a text count as no label and as empty."""
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, features: int = FEATURES) -> Machine:
+    """Fits on labelled rows whose crc32(doc_id as text) mod 4 is not 2: of each label the `per_label` of least hash, as far as they have `features` features.
+
+    Rows without a doc_id or a quality of 0 or 1 are no labels; null texts count as empty.  Of labels that differ for one
+    doc_id the lesser counts; rows that share a doc_id are all learnt from.  Without any label, or with one value only, the
+    model is a constant.
+    """
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     by_hash = F.xxhash64("doc_id")
@@ -153,13 +160,20 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mac
                 cut = first[1:]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([i.tobytes() for i in np.split(ids, cut)], pa.binary()), pa.array([v.tobytes() for v in np.split(x, cut)], pa.binary())], names=["doc_id", "quality", "ids", "x"])
 
-    got = rows.select("doc_id", "quality", "text").mapInArrow(work, "doc_id long, quality int, ids binary, x binary").toArrow().sort_by("doc_id")
+    found = materialize(rows.select("doc_id", "quality", "text").mapInArrow(work, "doc_id long, quality int, ids binary, x binary"))
+    # a window over the sample, not over the corpus
+    before = F.sum(F.octet_length("ids") / 4).over(Window.partitionBy("quality").orderBy(by_hash, "doc_id", F.xxhash64("ids")).rowsBetween(Window.unboundedPreceding, 0))
+    got = found.withColumn("before", before).filter(F.col("before") <= features).drop("before").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
     pairs = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got.column("ids").to_pylist(), got.column("x").to_pylist())]
     return fit(pairs, np.array(got.column("quality").to_pylist(), np.int64))
 
 
 def score(docs: DataFrame, model: Machine, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, and the columns named in `keep`; a null text scores as an empty one, equal texts score alike."""
+    """doc_id, score, and the columns named in `keep`: one row per row of `docs`, whatever its doc_id.
+
+    A null text scores as an empty one, equal texts score alike, and no score is null.  An empty table gives no rows; other
+    columns of `docs`, whatever their names, are not read.  A text is held whole by one worker.
+    """
     w0, w, v = model.w0, model.w, model.v
     shared = docs.sparkSession.sparkContext.broadcast((w0, w, v))  # of fixed size
 
@@ -174,6 +188,7 @@ def score(docs: DataFrame, model: Machine, keep: tuple[str, ...] = ()) -> DataFr
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`score` of every whole text of `documents` by a model fitted to `labels`; a null doc_id is not held out."""
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))

@@ -399,6 +399,56 @@ def test_base_spans_equal_plain_rules():
         assert pii.base_spans(t) == want
 
 
+def planted(seed, n):
+    """Texts with personal data and look-alikes: (text, spans beside the base rules)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randrange(2, 9)))
+    prose = lambda: " ".join(word() for _ in range(rng.randrange(5, 25)))
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    bad_card = lambda: next(d for _ in iter(int, 1) if not pii.luhn(d := digits(16)))
+    make = {
+        "email": lambda: (rng.choice(["mail ", "contact "]), f"{word()} (at) {word()} (dot) com"),
+        "phone": lambda: (rng.choice(["call ", "tel ", "phone: "]), f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        "secret": lambda: (rng.choice(["token = ", "api key: ", "password "]), "".join(rng.choices("abcdef0123456789", k=40))),
+        "order": lambda: ("order ", digits(8)),
+        "rule": lambda: ("section ", word() + "_" * 20 + digits(1)),
+        "bad card": lambda: ("", bad_card()),
+    }
+    out = []
+    for _ in range(n):
+        text, true = prose() + " ", set()
+        for kind in rng.choices(list(make), k=rng.randrange(4)):
+            lead, span = make[kind]()
+            at = len(text) + len(lead)
+            text += lead + span + ". " + prose() + " "
+            if kind in pii.KINDS:
+                true.add((kind, at, at + len(span)))
+        out.append((text, true))
+    return out
+
+
+def test_added_spans_and_reliabilities(spark):
+    model = pii.fit(frame(spark, [t for t, _ in planted(1, 2000)]))
+    right = wrong = missed = 0
+    for text, true in planted(2, 1000):
+        got = set(pii.all_spans(text, model)) - set(pii.base_spans(text))
+        right, wrong, missed = right + len(got & true), wrong + len(got - true), missed + len(true - got)
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95 and right > 400
+
+
+def test_estimated_reliabilities():
+    """Votes drawn from known rates: expectation-maximisation finds the rates, also where they are far from its start."""
+    rng = np.random.default_rng(11)
+    true = rng.random(40_000) < 0.3
+    rates = {"pattern": (0.8, 0.3), "gazetteer": (0.7, 0.05), "context": (0.6, 0.5), "checksum": (0.9, 0.2)}
+    votes = [np.where(rng.random(len(true)) < np.where(true, *rates[x]), pii.YES, pii.NO) for x in pii.LABELERS]
+    rows, n = np.unique(np.stack([np.zeros(len(true), int), *votes], axis=1), axis=0, return_counts=True)
+    p, found = pii.estimate(rows, n)
+    for x in pii.LABELERS:
+        assert np.allclose(found["email", x], rates[x], atol=0.05)
+    assert abs((p @ n) / n.sum() - 0.3) < 0.05
+
+
 def test_redaction(spark):
     df = frame(spark, ["write to a.b@c.org or +1 (974) 555-3436 now", None, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "card 2390409500648961 fails"])
     out = {r.doc_id: r.text for r in pii.redact(df, pii.fit(df)).collect()}
