@@ -49,9 +49,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch_dir(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `materialize` wrote and nothing will read again."""
+    drop_path(df.sparkSession, df._scratch)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files of finished passes (it acts when the driver's JVM collects)."""
     import gc

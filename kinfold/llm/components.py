@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize
+from kinfold.llm.common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -16,8 +16,8 @@ def _mark(edges: DataFrame) -> tuple:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node of `links` (columns u and v, bigint): the least node reachable.
 
-    No neighbourhood is ever gathered: each round takes minima by aggregation and joins them back, so that a hub with any
-    number of links stays spread.  Links of a node to itself and nulls are ignored.  Rounds are written out, which cuts
+    No neighbourhood is ever gathered: each round takes minima by aggregation and joins them back.  The join of a hub's links
+    with its minimum is a sort-merge join on the hub, which adaptive execution splits where it is skewed.  Links of a node to itself and nulls are ignored.  Rounds are written out, which cuts
     lineage.  ValueError if `rounds` is reached, which a graph would need about 2**rounds nodes for.
     """
     ends = links.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
@@ -30,7 +30,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+        before, edges = edges, materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+        discard(before)
         now = _mark(edges)
         if now == seen:
             roots = edges.select("v").distinct()

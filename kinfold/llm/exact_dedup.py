@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import documents, materialize, per_slice, text_bytes
+from kinfold.llm.common import documents, materialize, per_slice, rows_of, text_bytes
 
 P61 = (1 << 61) - 1
 BASE = 0x0123456789ABCDEF
@@ -69,7 +69,7 @@ def fingerprint(data: np.ndarray) -> int:
     return total
 
 
-_KEYS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary())])
+_KEYS = pa.schema([("doc_id", pa.int64()), ("ident", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary())])
 _CHUNKS = pa.schema([("fp", pa.int64()), ("n_bytes", pa.int64()), ("chunk_no", pa.int64()), ("chunk", pa.binary())])
 
 
@@ -80,7 +80,7 @@ def _keys(part: pa.RecordBatch) -> pa.RecordBatch:
     for s, e in zip(off[:-1], off[1:]):
         fp.append(fingerprint(data[s:e]))
         sha.append(hashlib.sha256(data[s:e]).digest())
-    return pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fp, pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(sha, pa.binary())], schema=_KEYS)
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ident"), pa.array(fp, pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(sha, pa.binary())], schema=_KEYS)
 
 
 def _chunks(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -100,12 +100,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     The largest doc_id of a group stays (a null doc_id only if the group has no other; keep_id is then null).  Rows that
     repeat both doc_id and text all count in group_size and get the same answer.  An empty table gives no rows.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = materialize(per_slice(ids, _keys, "doc_id long, fp long, n_bytes long, sha binary"))
+    rows = rows_of(docs)
+    keys = materialize(per_slice(rows, _keys, "doc_id long, ident long, fp long, n_bytes long, sha binary", ("doc_id", "ident", "text")))
     key = ["fp", "n_bytes"]
     shared = keys.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1 AND n_bytes > 0").select(*key)
-    members = keys.join(shared, key, "left_semi").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("member"), "fp").distinct()
-    texts = ids.withColumn("member", F.coalesce("doc_id", F.lit(-(2**63)))).join(members, "member").select("text", "fp")
+    members = keys.join(shared, key, "left_semi").select("ident", "fp").distinct()
+    texts = rows.join(members, "ident").select("text", "fp")
     differing = per_slice(texts, _chunks, "fp long, n_bytes long, chunk_no long, chunk binary", ("text", "fp")).groupBy("fp", "n_bytes", "chunk_no").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).filter(F.col("a") != F.col("b")).select(*key).distinct()
     differing = materialize(differing).withColumn("split", F.lit(True))
     split = keys.join(differing, key, "left").withColumn("part", F.when(F.col("split"), F.col("sha")).otherwise(F.lit(b""))).drop("split")
