@@ -161,3 +161,25 @@ def test_autosomes_and_tensor(panel):
     g, s, _ = panel
     calls, own = extract.autosomal_diploid(g, s)
     assert own.count() == s.filter("chrom BETWEEN 1 AND 22").count() and calls.count() == g.count()
+
+
+def test_admixture_starts_and_projection(spark):
+    rng = np.random.default_rng(8)
+    f = rng.uniform(0.05, 0.95, (2, 150))
+    q = rng.dirichlet([0.5, 0.5], 14)
+    rows = [(j, i, int(rng.binomial(2, q[i] @ f[:, j]))) for i in range(14) for j in range(150) if rng.random() > 0.1]
+    g = spark.createDataFrame(rows, "snp_idx long, sample_idx long, dosage int")
+    who = spark.range(14).select(F.col("id").alias("sample_idx"))
+    traces = [structure.admixture(g, who, 2, seed=s, rounds=12)[1] for s in (1, 2)]
+    best, trace = structure.admixture(g, who, 2, seed=1, seeds=2, rounds=12)
+    assert trace[-1] == pytest.approx(max(t[-1] for t in traces), rel=1e-9) and all(b >= a - 1e-6 for a, b in zip(trace, trace[1:]))
+    freq = spark.createDataFrame([(j, [float(x) for x in f[:, j]]) for j in range(0, 150, 2)], "snp_idx long, f array<double>")
+    got = {r.sample_idx: np.array(r.q) for r in structure.admixture(g, who, 2, rounds=60, frequencies=freq)[0].collect()}
+    own = dense(g, 14)[:, ::2]
+    w = np.random.default_rng(1).dirichlet(np.ones(2), 14)
+    for _ in range(60):  # the same rounds without Spark, frequencies held
+        p = w @ f[:, ::2]
+        seen, x = ~np.isnan(own), np.nan_to_num(own)
+        t = w * (np.where(seen, x / p, 0) @ f[:, ::2].T + np.where(seen, (2 - x) / (1 - p), 0) @ (1 - f[:, ::2]).T)
+        w = t / t.sum(axis=1, keepdims=True)
+    assert all(np.allclose(got[i], w[i], atol=1e-2) for i in range(14))
