@@ -185,9 +185,22 @@ def q_qpdstat(spark, d):
     return q_f4(spark, d)
 
 
-@query("f4_p")
+#: The two-sided normal tail of z by the series erf(x) = exp(-x^2) sum x^(2 n + 1) / gamma(n + 3/2).
+P_SQL = "CASE WHEN abs(est / se) > 8 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln(abs(est / se) / sqrt(2.0)) - pow(est / se, 2) / 2 - lgamma(n + 1.5)))) END"
+
+
+def _p_of(sql: str) -> str:
+    """A jackknife's SQL with p beside z."""
+    return sql.replace("AS z FROM t4", f"AS z, {R(P_SQL, 4)} AS p FROM t4")
+
+
+def _rounded_stats(df: DataFrame) -> DataFrame:
+    return _round(_round(_round(df, "est", "se", digits=7), "z", digits=5), "p", digits=4)
+
+
+@query("f4_p", _p_of(ORACLES["f4"]))
 def q_f4p(spark, d):
-    return fs.with_p(fs.f4(tensor(spark, d), quartets(spark, d)))
+    return _rounded_stats(fs.with_p(fs.f4(tensor(spark, d), quartets(spark, d))))
 
 
 TRIPLE_SQL = F2_SQL + """, labels AS (SELECT DISTINCT pop FROM smp), x3 AS (SELECT a.p1 AS pop1, a.p2 AS pop2, b.p2 AS pop3, a.block_id, a.block_size, (a.f2 + b.f2 - c.f2) / 2 AS x FROM sym a JOIN sym b ON b.p1 = a.p1 AND b.block_id = a.block_id AND b.p2 > a.p2 AND a.p1 <> a.p2 AND b.p1 <> b.p2 JOIN sym c ON c.p1 = a.p2 AND c.p2 = b.p2 AND c.block_id = a.block_id)"""
@@ -234,16 +247,14 @@ def q_dstat(spark, d):
 SWEEP4 = ORACLES["f4"].replace("a.pop < b.pop AND c.pop < d.pop AND a.pop < c.pop AND b.pop <> c.pop AND b.pop <> d.pop", "a.pop < b.pop AND b.pop < c.pop AND c.pop < d.pop")
 
 
-@query("f4_sweep", SWEEP4 + " WHERE abs(est / se) >= 0.5")
+@query("f4_sweep", _p_of(SWEEP4 + " WHERE abs(est / se) >= 0.5"))
 def q_sweep4(spark, d):
-    out = fs.sweep(tensor(spark, d), 4, min_z=0.5).drop("p")
-    return _round(_round(out, "est", "se", digits=7), "z", digits=5)
+    return _rounded_stats(fs.sweep(tensor(spark, d), 4, min_z=0.5))
 
 
-@query("f3_sweep", ORACLES["f3"] + " WHERE pop1 < pop2 ORDER BY abs(est / se) DESC, pop1, pop2, pop3 LIMIT 6")
+@query("f3_sweep", _p_of(ORACLES["f3"] + " WHERE pop1 < pop2 ORDER BY abs(est / se) DESC, pop1, pop2, pop3 LIMIT 6"))
 def q_sweep3(spark, d):
-    out = fs.sweep(tensor(spark, d), 3, top=6).drop("p")
-    return _round(_round(out, "est", "se", digits=7), "z", digits=5)
+    return _rounded_stats(fs.sweep(tensor(spark, d), 3, top=6))
 
 
 FST_SQL = COUNTS_SQL + """,
@@ -334,7 +345,17 @@ def q_king_min(spark, d):
     return _round(re_.kinship(re_.king_counts(fx.genotypes(spark, d))).filter("phi >= 0.0442"), "phi")
 
 
-@query("king_cutoff")
+#: One sample goes in each step: the partner of the least sample with one relative, else the least of those with the most.
+CUTOFF_SQL = """WITH RECURSIVE """ + KING_SQL + """, e0 AS (SELECT coalesce(list({'u': id1, 'v': id2} ORDER BY id1, id2), []) AS e FROM kp WHERE phi > 0.1 * (1 + pow(2.0, -44))),
+step AS (SELECT 0 AS k, e, CAST(NULL AS BIGINT) AS gone FROM e0 UNION ALL
+  SELECT k + 1, list_filter(e, lambda x: x.u <> out AND x.v <> out), out FROM (
+    SELECT k, e, CASE WHEN one IS NULL THEN list_min(list_filter(own, lambda n: len(list_filter(ends, lambda m: m = n)) = most)) ELSE list_filter(e, lambda x: x.u = one OR x.v = one)[1].u + list_filter(e, lambda x: x.u = one OR x.v = one)[1].v - one END AS out FROM (
+      SELECT k, e, ends, own, list_min(list_filter(own, lambda n: len(list_filter(ends, lambda m: m = n)) = 1)) AS one, list_max(list_transform(own, lambda n: len(list_filter(ends, lambda m: m = n)))) AS most FROM (
+        SELECT k, e, ends, list_distinct(ends) AS own FROM (SELECT k, e, list_concat(list_transform(e, lambda x: x.u), list_transform(e, lambda x: x.v)) AS ends FROM step WHERE len(e) > 0)))))
+SELECT c AS sample_idx, c IN (SELECT gone FROM step WHERE gone IS NOT NULL) AS removed FROM smp"""
+
+
+@query("king_cutoff", CUTOFF_SQL)
 def q_cutoff(spark, d):
     return re_.king_cutoff(re_.kinship(re_.king_counts(fx.genotypes(spark, d))), fx.samples(spark, d), 0.1)
 
