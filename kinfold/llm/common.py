@@ -132,7 +132,7 @@ def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > 8 << 20:
+        if size > 2 << 20:
             return have
         _powers[base] = have
     return have
@@ -165,6 +165,17 @@ def range_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BA
 SECOND_BASE = 0xD1342543DE82EF95
 
 
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE, block: int = 1 << 18) -> np.ndarray:
+    """Hashes of byte ranges in rising order that don't overlap, block by block, so that few prefix sums are held at a time."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(int(np.searchsorted(end, start[i] + block, "right")), i + 1)
+        a = start[i]
+        out[i:j] = mix(range_hash(byte_hash(data[a : end[j - 1]], base), start[i:j] - a, end[i:j] - a, base))
+        i = j
+    return out
+
+
 def byte_hash(data: np.ndarray, base: int = BASE) -> np.ndarray:
     return prefix_hash(_TABLE[data], base)
 

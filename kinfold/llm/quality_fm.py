@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import byte_hash, documents, materialize, mix, per_slice, prefix_hash, range_hash, slices, text_bytes
+from kinfold.llm.common import documents, hash_ranges, materialize, mix, per_slice, prefix_hash, range_hash, slices, text_bytes
 
 RANK = 8
 BUCKETS = 1 << 15
@@ -48,7 +48,7 @@ def featurize(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = np.flatnonzero(~space & (np.concatenate((space[1:], [True])) | edge[1:])) + 1 if len(data) else np.zeros(0, np.int64)
     doc = np.searchsorted(off, start, "right") - 1
     words = np.bincount(doc, minlength=n)
-    hashed = mix(range_hash(byte_hash(data), start, end)) % np.uint64(BUCKETS) if len(start) else np.zeros(0, np.uint64)
+    hashed = hash_ranges(data, start, end) % np.uint64(BUCKETS)
     kind = _CLASS[data]
     token = np.where(kind == 4, data + 8, kind)
     head = np.zeros(len(data), bool)

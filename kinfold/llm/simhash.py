@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import documents, materialize, mix, per_slice, range_hash, rows_of, text_bytes
@@ -154,6 +154,7 @@ SHINGLE = 5
 #: Words of a feature of the fingerprint: an edit changes fewer short features, so that fewer bits differ.
 FEATURE = 2
 SEGMENTS, BITS = 16, 24
+SIG = [f"s{k}" for k in range(SEGMENTS * BITS // 64)]
 #: Differing bits, of SEGMENTS * BITS, beyond which a pair isn't verified: texts of similarity 0.8 whose features differ as
 #: much as their shingles have 58 on average, with a standard deviation of 7.
 FAR = 96
@@ -178,22 +179,29 @@ def _shingles(w: Words, c: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """ident, doc_id, node (a hash of the text's words), words, sig (SEGMENTS * BITS bits, 0 for wordless texts); rows: as `rows_of` makes them."""
+    """ident, doc_id, node (a hash of the text's words), words, and the SEGMENTS * BITS bits of its fingerprint as s0, s1, ... (0 for wordless texts); rows: as `rows_of` makes them."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         w, c = _word_hashes(part)
         h, first = _shingles(w, c, FEATURE)
         words = [fingerprint_hashes(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)), first) for k in range(SEGMENTS * BITS // 64)]
-        sig = np.stack(words, axis=1).astype("<u8").view(np.uint8).reshape(len(first), -1)
         node = mix(range_hash(c, w.first[:-1], w.first[1:]) + w.count.astype(np.uint64)).view(np.int64)
-        arrays = [part.column("ident"), part.column("doc_id"), pa.array(node), pa.array(w.count.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, names=["ident", "doc_id", "node", "words", "sig"])
+        arrays = [part.column("ident"), part.column("doc_id"), pa.array(node), pa.array(w.count.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in words)]
+        return pa.RecordBatch.from_arrays(arrays, names=["ident", "doc_id", "node", "words", *SIG])
 
-    return per_slice(rows, work, "ident long, doc_id long, node long, words int, sig binary", ("ident", "doc_id", "text"))
+    return per_slice(rows, work, "ident long, doc_id long, node long, words int, " + ", ".join(f"{c} long" for c in SIG), ("ident", "doc_id", "text"))
+
+
+def close(a: str, b: str) -> Column:
+    """Whether the fingerprints of two tables of an alias each differ in at most FAR bits."""
+    differing = F.lit(0)
+    for c in SIG:
+        differing = differing + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return differing <= FAR
 
 
 def segment_keys(texts: DataFrame) -> DataFrame:
-    """node, words, key: one for every segment of `sig` and every bit of it as a wildcard."""
+    """node, key: one for every segment of the fingerprint and every bit of it as a wildcard."""
     bit = (np.uint64(1) << np.arange(BITS, dtype=np.uint64))[None, None]
     tag = (np.arange(SEGMENTS * BITS, dtype=np.uint64) << np.uint64(BITS)).reshape(1, SEGMENTS, BITS)
 
@@ -201,68 +209,51 @@ def segment_keys(texts: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(part.num_rows, SEGMENTS, BITS // 8).astype(np.uint64)
+                words = np.stack([part.column(c).to_numpy() for c in SIG], axis=1).astype("<i8")
+                sig = words.view(np.uint8).reshape(part.num_rows, SEGMENTS, BITS // 8).astype(np.uint64)
                 own = (sig << (np.arange(BITS // 8, dtype=np.uint64) * np.uint64(8))).sum(axis=2, dtype=np.uint64)[:, :, None]
                 key = ((own & ~bit) | tag).reshape(-1).view(np.int64)
-                each = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), SEGMENTS * BITS) for c in ("node", "words")]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, each), pa.array(key)], names=["node", "words", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), SEGMENTS * BITS)), pa.array(key)], names=["node", "key"])
 
-    return texts.select("node", "words", "sig").mapInArrow(run, "node long, words int, key long")
+    return texts.select("node", *SIG).mapInArrow(run, "node long, key long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The rows of `pairs` (u, v and others) whose texts share `similarity` of their sets of shingles; texts: node, sig and the ident of a row that has it."""
-    left, right = (texts.select(F.col("node").alias(k), F.col("sig").alias(f"s{k}")) for k in "uv")
-    columns, kinds = pairs.columns, pairs.schema
-
-    def close(batches):
-        for b in batches:
-            a, c = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in ("su", "sv"))
-            yield b.filter(pa.array(np.bitwise_count(a ^ c).sum(axis=1) <= FAR)).select(columns)
-
-    some = materialize(pairs.join(left, "u").join(right, "v").select(*columns, "su", "sv").mapInArrow(close, kinds))
+    """The rows of `pairs` (u, v and others; a written table) whose texts share `similarity` of their sets of shingles; texts: node and the ident of a row that has it."""
 
     def sets(part: pa.RecordBatch) -> pa.RecordBatch:
         h, first = _shingles(*_word_hashes(part), SHINGLE)
-        own = [np.unique(x).tobytes() for x in np.split(h, first[1:])]
-        return pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.binary())], names=["node", "shingles"])
+        own = [np.unique(x).view(np.int64) for x in np.split(h, first[1:])]
+        return pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    asked = texts.select("node", "ident").join(some.select(F.col("u").alias("node")).union(some.select("v")).distinct(), "node", "left_semi")
-    own = materialize(per_slice(rows.join(asked, "ident").dropDuplicates(["node"]), sets, "node long, shingles binary", ("node", "text")))
+    asked = texts.select("node", "ident").join(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "node", "left_semi")
+    own = materialize(per_slice(rows.join(asked, "ident").dropDuplicates(["node"]), sets, "node long, shingles array<long>", ("node", "text")))
     left, right = (own.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "uv")
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("su").to_pylist(), b.column("sv").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.filter(pa.array(keep, pa.bool_())).select(columns)
-
-    return some.join(left, "u").join(right, "v").select(*columns, "su", "sv").mapInArrow(run, kinds)
+    met = pairs.join(left, "u").join(right, "v").withColumn("both", F.size(F.array_intersect("su", "sv")))
+    return met.filter(F.col("both") >= similarity * (F.size("su") + F.size("sv") - F.col("both"))).select(*pairs.columns)
 
 
 def _similar_roots(texts: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """node, root over the nodes that have links."""
     keys = segment_keys(texts.filter("words > 0")).withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1")
-    shared = materialize(keys)
-    alike = F.least("a.words", "b.words") >= similarity / 2 * F.greatest("a.words", "b.words")  # repeats may stretch a text, not beyond reason
-    quiet, crowded = shared.filter(F.col("c") <= MANY), shared.filter(F.col("c") > MANY).select("node", "words", "key")
-    pairs = quiet.alias("a").join(quiet.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    least = crowded.groupBy("key").agg(F.min("node").alias("v"))
-    star = crowded.join(least, "key").filter("node <> v").select(F.col("node").alias("u"), "v")
+    shared = materialize(keys.join(texts.select("node", *SIG), "node"))
+    quiet, crowded = shared.filter(F.col("c") <= MANY), shared.filter(F.col("c") > MANY).drop("c")
+    same = F.col("a.key") == F.col("b.key")
+    named = lambda: (F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    pairs = quiet.alias("a").join(quiet.alias("b"), same & (F.col("a.node") < F.col("b.node")) & close("a", "b")).select(*named())
+    least = crowded.groupBy("key").agg(F.min(F.struct("node", *SIG)).alias("s")).select("key", "s.*")
+    star = crowded.alias("a").join(least.alias("b"), same & (F.col("a.node") != F.col("b.node")) & close("a", "b")).select(*named())
     first = materialize(components(verified(materialize(pairs.unionByName(star).distinct()), texts, rows, similarity)))
     if crowded.isEmpty():
         return first
     # a crowded key of several components: its members outside its largest one against the others
-    named = materialize(crowded.join(first, "node", "left").select("node", "key", F.coalesce("root", "node").alias("part")))
-    parts = named.groupBy("key", "part").agg(F.count("*").alias("c"))
+    parted = materialize(crowded.join(first, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
+    parts = parted.groupBy("key", "part").agg(F.count("*").alias("c"))
     mixed = parts.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    open_keys = materialize(named.join(mixed, "key"))
+    open_keys = materialize(parted.join(mixed, "key"))
     once = (F.col("b.part") == F.col("b.main")) | (F.col("a.part") < F.col("b.part"))
-    across = open_keys.filter("part <> main").alias("a").join(open_keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & once)
-    more = materialize(across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.part").alias("pu"), F.col("b.part").alias("pv")).distinct())
+    across = open_keys.filter("part <> main").alias("a").join(open_keys.alias("b"), same & (F.col("a.part") != F.col("b.part")) & once & close("a", "b"))
+    more = materialize(across.select(*named(), F.col("a.part").alias("pu"), F.col("b.part").alias("pv")).distinct())
     second = materialize(components(verified(more, texts, rows, similarity).select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct()).withColumnsRenamed({"node": "old", "root": "new"}))
     return first.join(second, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).unionByName(
         second.join(first, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
@@ -280,7 +271,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     rows = rows_of(docs)
     own = materialize(signatures(rows))
-    texts = materialize(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ident")).alias("least"), F.first("words").alias("words"), F.first("sig").alias("sig")).select("node", "words", "sig", "least", "least.ident"))
+    texts = materialize(own.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ident")).alias("least"), F.first("words").alias("words"), *(F.first(c).alias(c) for c in SIG)).select("node", "words", *SIG, "least", "least.ident"))
     roots = materialize(texts.select("node", "least").join(_similar_roots(texts, rows, similarity), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"))
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first")
     return own.select("doc_id", "ident", "node").join(named, "node").select("doc_id", "ident", F.col("first.doc_id").alias("component_id"), (F.col("ident") == F.col("first.ident")).alias("kept"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import BASE, PACKED, SECOND_BASE, answer, at_homes, byte_hash, check_bits, column_of, cover, documents, entries, extent, marks, materialize, mix, per_slice, prefix_hash, range_hash, release_shuffles, replies, rows_of, text_bytes
+from kinfold.llm.common import BASE, PACKED, SECOND_BASE, answer, at_homes, check_bits, column_of, cover, documents, entries, extent, hash_ranges, marks, materialize, mix, per_slice, prefix_hash, range_hash, release_shuffles, replies, rows_of, text_bytes
 
 WINDOW = 20
 SPACE = np.zeros(256, bool)
@@ -42,8 +42,7 @@ class Words:
 
     def hash(self, base: int = BASE) -> np.ndarray:
         """Prefix sums for hashes of word sequences."""
-        own = mix(range_hash(byte_hash(self.data, base), self.start, self.end, base)) if len(self.start) else np.zeros(0, np.uint64)
-        return prefix_hash(own, base)
+        return prefix_hash(hash_ranges(self.data, self.start, self.end, base), base)
 
     def windows(self, length: int) -> np.ndarray:
         """Flags of words at which a window of `length` words of one document starts."""
