@@ -236,13 +236,19 @@ def verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, similarity: fl
 def _similar_roots(texts: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """node, root over the nodes that have links."""
     keys = segment_keys(texts.filter("words > 0")).withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1")
-    shared = materialize(keys.join(texts.select("node", *SIG), "node"))
-    quiet, crowded = shared.filter(F.col("c") <= MANY), shared.filter(F.col("c") > MANY).drop("c")
+    shared = materialize(keys)
+    sigs = texts.select("node", *SIG)
+    quiet, crowded = shared.filter(F.col("c") <= MANY).join(sigs, "node"), shared.filter(F.col("c") > MANY).drop("c")
     same = F.col("a.key") == F.col("b.key")
     named = lambda: (F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+    def near(found: DataFrame) -> DataFrame:  # few distinct pairs; a crowded key's rows don't carry fingerprints
+        met = found.alias("p").join(sigs.alias("a"), F.col("p.u") == F.col("a.node")).join(sigs.alias("b"), F.col("p.v") == F.col("b.node"))
+        return met.filter(close("a", "b")).select(*(F.col(f"p.{c}").alias(c) for c in found.columns))
+
     pairs = quiet.alias("a").join(quiet.alias("b"), same & (F.col("a.node") < F.col("b.node")) & close("a", "b")).select(*named())
-    least = crowded.groupBy("key").agg(F.min(F.struct("node", *SIG)).alias("s")).select("key", "s.*")
-    star = crowded.alias("a").join(least.alias("b"), same & (F.col("a.node") != F.col("b.node")) & close("a", "b")).select(*named())
+    least = crowded.groupBy("key").agg(F.min("node").alias("v"))
+    star = near(crowded.join(least, "key").filter("node <> v").select(F.col("node").alias("u"), "v").distinct())
     first = materialize(components(verified(materialize(pairs.unionByName(star).distinct()), texts, rows, similarity)))
     if crowded.isEmpty():
         return first
@@ -252,8 +258,8 @@ def _similar_roots(texts: DataFrame, rows: DataFrame, similarity: float) -> Data
     mixed = parts.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     open_keys = materialize(parted.join(mixed, "key"))
     once = (F.col("b.part") == F.col("b.main")) | (F.col("a.part") < F.col("b.part"))
-    across = open_keys.filter("part <> main").alias("a").join(open_keys.alias("b"), same & (F.col("a.part") != F.col("b.part")) & once & close("a", "b"))
-    more = materialize(across.select(*named(), F.col("a.part").alias("pu"), F.col("b.part").alias("pv")).distinct())
+    across = open_keys.filter("part <> main").alias("a").join(open_keys.alias("b"), same & (F.col("a.part") != F.col("b.part")) & once)
+    more = materialize(near(across.select(*named(), F.col("a.part").alias("pu"), F.col("b.part").alias("pv")).distinct()))
     second = materialize(components(verified(more, texts, rows, similarity).select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct()).withColumnsRenamed({"node": "old", "root": "new"}))
     return first.join(second, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).unionByName(
         second.join(first, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
