@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -103,8 +104,19 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = SL
         at = to
 
 
-def per_slice(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, columns: Iterable[str] = ("doc_id", "text"), limit: int = SLICE_BYTES) -> DataFrame:
-    """Map Arrow slices of about `limit` bytes of text; columns that aren't named never leave the scan."""
+def give_back() -> None:
+    """Return freed memory to the system; the allocators of a worker, which Spark uses again, else keep what its largest batches took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def per_slice(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, columns: Iterable[str] = ("doc_id", "text"), limit: int = SLICE_BYTES, lean: bool = False) -> DataFrame:
+    """Map Arrow slices of about `limit` bytes of text; columns that aren't named never leave the scan.
+
+    lean: a worker gives freed memory back after each batch, and so before it waits for its next task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,6 +126,9 @@ def per_slice(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | I
                     yield out
                 else:
                     yield from out
+            if lean:
+                batch = part = out = None
+                give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

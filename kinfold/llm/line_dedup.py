@@ -122,7 +122,7 @@ def _chosen_lines(rows: DataFrame, chosen: DataFrame) -> DataFrame:
         cols = list(zip(*out)) if out else [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["node", "doc", "ident", "line", "norm"])
 
-    return per_slice(own, work, "node long, doc long, ident long, line int, norm string", ("doc_id", "ident", "text", "lines"))
+    return per_slice(own, work, "node long, doc long, ident long, line int, norm string", ("doc_id", "ident", "text", "lines"), lean=True)
 
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -214,7 +214,7 @@ def _near_pairs(met: DataFrame, texts: DataFrame, odd: DataFrame | None) -> Data
 def kept_places(rows: DataFrame, shortest: int = SHORTEST, fuzzy: int = FUZZY) -> DataFrame:
     """ident, line (from 0) of the lines of at least `shortest` characters that stay; rows: as `rows_of` makes them."""
     spark = rows.sparkSession
-    lines = per_slice(rows, _lines(shortest, fuzzy), "doc long, ident long, line int, n int, h1 long, h2 long, keys array<long>", ("doc_id", "text", "ident"))
+    lines = per_slice(rows, _lines(shortest, fuzzy), "doc long, ident long, line int, n int, h1 long, h2 long, keys array<long>", ("doc_id", "text", "ident"), lean=True)
     same = ["h1", "h2", "n"]
     classes = materialize(lines.groupBy(*same).agg(F.min(F.struct("doc", "ident", "line")).alias("at"), F.first("keys").alias("keys")).select(*same, "at.*", "keys"))
     # rows that share a doc_id without being alike; none where doc_id is a key
@@ -227,7 +227,7 @@ def kept_places(rows: DataFrame, shortest: int = SHORTEST, fuzzy: int = FUZZY) -
     texts = materialize(_chosen_lines(rows, chosen))
     chars = texts.agg(F.sum(F.length("norm"))).first()[0] or 0
     release_shuffles(spark)
-    keys = per_slice(texts.select("node", F.col("norm").alias("text")), _packed(max(8, -(-chars // 500_000))), PACKED, ("node", "text"))
+    keys = per_slice(texts.select("node", F.col("norm").alias("text")), _packed(max(8, -(-chars // 500_000))), PACKED, ("node", "text"), lean=True)
     met = keys.groupBy("r").applyInArrow(_meet, "v long, i long, node long")
     near = materialize(_near_pairs(met, texts, odd))
     both = near.unionByName(near.select(*(F.col(("y" if c[0] == "x" else "x") + c[1:]).alias(c) for c in near.columns)))
@@ -280,7 +280,7 @@ def line_dedup(docs: DataFrame, shortest: int = SHORTEST, fuzzy: int = FUZZY) ->
         return pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
 
     schema = ", ".join([*(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema if f.name in names), "n_lines long, n_removed long"])
-    return per_slice(joined, work, schema, (*names, "_kinfold_kept"))
+    return per_slice(joined, work, schema, (*names, "_kinfold_kept"), lean=True)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
