@@ -71,3 +71,14 @@ def test_cutoff_of_one_large_family(spark):
     kin = spark.createDataFrame([(a, b, 0.3) for a, b in pairs], "id1 long, id2 long, phi double")
     got = relatedness.king_cutoff(kin, spark.range(60).withColumnRenamed("id", "sample_idx"), 0.1)
     assert {r.sample_idx for r in got.collect() if r.removed} == gone
+
+
+def test_map_points_are_sought_in_growing_frames(spark):
+    """No frame of the as-of join reaches to the partition's end: Spark reads such a frame again for every row."""
+    from kinfold.sources import ingest
+
+    s = spark.createDataFrame([(1, p) for p in (5, 10, 15, 20, 25, 40, 99)], "chrom int, pos long")
+    g = spark.createDataFrame([(1, 10, 1.0), (1, 20, 3.0), (1, 20, 2.0), (1, 40, 6.0)], "chrom int, pos long, cm double")
+    out = ingest.interpolate_map(s, g)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    assert {r.pos: round(100 * r.morgans, 9) for r in out.collect()} == {5: 1.0, 10: 1.0, 15: 2.0, 20: 2.0, 25: 3.0, 40: 6.0, 99: 6.0}
