@@ -6,7 +6,6 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +26,9 @@ def date_moments(geno: DataFrame, snps: DataFrame, target: str, source1: str, so
     """
     from kinfold.operators.frequencies import allele_frequency
 
-    af = allele_frequency(geno)
-    w = af.filter(F.col("pop") == source1).select("snp_idx", F.col("q").alias("w1")).join(af.filter(F.col("pop") == source2).select("snp_idx", F.col("q").alias("w2")), "snp_idx")
+    af = allele_frequency(geno.filter(F.col("pop").isin(source1, source2)))
+    of = lambda p: F.max(F.when(F.col("pop") == p, F.col("q")))
+    w = af.groupBy("snp_idx").agg(of(source1).alias("w1"), of(source2).alias("w2")).dropna()
     rows = geno.filter((F.col("pop") == target) & F.col("dosage").isNotNull()).select("snp_idx", "sample_idx", (F.col("dosage") / 2).alias("g")).join(w, "snp_idx").join(snps.select("snp_idx", "chrom", "genpos_m"), "snp_idx")
     s = rows.groupBy("sample_idx").agg(*(F.sum(e).alias(k) for k, e in (("aa", F.expr("w1*w1")), ("ab", F.expr("w1*w2")), ("bb", F.expr("w2*w2")), ("ga", F.expr("g*w1")), ("gb", F.expr("g*w2")))))
     det = F.expr("aa*bb - ab*ab")
@@ -37,18 +37,74 @@ def date_moments(geno: DataFrame, snps: DataFrame, target: str, source1: str, so
     cell = step / fine
     lags = int(round(most / step))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = ((pdf["genpos_m"] - pdf["genpos_m"].min()) / cell).astype(int).to_numpy()
-        size = int(at.max()) + 1
-        y, n = np.bincount(at, pdf["r"], size), np.bincount(at, minlength=size).astype(float)
-        s11, s0 = autocorrelation(y, lags * fine), autocorrelation(n, lags * fine)
-        lag = np.arange(lags * fine) // fine
-        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "lag": np.arange(lags), "s0": np.bincount(lag, s0, lags), "s11": np.bincount(lag, s11, lags)})
-
-    parts = resid.groupBy("sample_idx", "chrom").applyInPandas(work, "chrom int, lag long, s0 double, s11 double")
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if len(held) < GATHER:
+                continue
+            sample, chrom = (held.column(c).to_numpy() for c in ("sample_idx", "chrom"))
+            other = np.flatnonzero((sample != sample[-1]) | (chrom != chrom[-1]))
+            if len(other):  # the last sample x chromosome may go on
+                cut = int(other[-1]) + 1
+                lagged_products(held.slice(0, cut), cell, fine, lags, sums)
+                held = held.slice(cut)
+        if held is not None and len(held):
+            lagged_products(held, cell, fine, lags, sums)
+        for c, (s0, s11) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(lags, c, np.int32)), pa.array(np.arange(lags)), pa.array(s0), pa.array(s11)], names=["chrom", "lag", "s0", "s11"])
+
+    # A task sends its sums of each chromosome and lag, whatever the number of its samples.  The key isn't the join's own, or
+    # the exchange would be left to the join, which may turn into a broadcast and split samples.
+    parts = resid.repartition(F.xxhash64("sample_idx")).sortWithinPartitions("sample_idx", "chrom", "genpos_m").mapInArrow(run, "chrom int, lag long, s0 double, s11 double")
     return parts.groupBy("chrom", "lag").agg(F.sum("s0").alias("s0"), F.sum("s11").alias("s11"))
 
 
+#: Rows that a task of `date_moments` gathers before it multiplies, at least.
+GATHER = 50_000
+#: Pairs of variants that are multiplied at a time.
+PAIRS = 2_000_000
+
+
+def lagged_products(t: pa.Table, cell: float, fine: int, lags: int, sums: dict[int, np.ndarray]) -> None:
+    """Adds pairs of cells, and of their sums of r, by lag to `sums` (chrom -> 2 x lags).  t: sample_idx, chrom, genpos_m, r in order, whole samples x chromosomes.
+
+    Where a sample has few variants within reach of each other, pairs are taken one by one, else by FFT over the cells.
+    """
+    sample, chrom, x, r = (t.column(c).to_numpy() for c in ("sample_idx", "chrom", "genpos_m", "r"))
+    head = np.flatnonzero((np.diff(sample, prepend=sample[0] - 1) != 0) | (np.diff(chrom, prepend=chrom[0]) != 0))
+    tail = np.append(head[1:], len(x))
+    group = np.repeat(np.arange(len(head)), tail - head)
+    at = ((x - x[head][group]) / cell).astype(np.int64)
+    wide = int(at.max()) + fine * lags + 1
+    place = group * wide + at
+    last = np.minimum(np.searchsorted(place, place + fine * lags), tail[group])
+    many = last - np.arange(len(x))
+    pairs, size = np.add.reduceat(many, head), at[tail - 1] + 1
+    dense = pairs > 8 * (size + fine * lags)
+    for c in np.unique(chrom):
+        sums.setdefault(int(c), np.zeros((2, lags)))
+    for g in np.flatnonzero(dense):
+        own = slice(head[g], tail[g])
+        y, n = np.bincount(at[own], r[own], size[g]), np.bincount(at[own], minlength=size[g]).astype(float)
+        lag = np.arange(lags * fine) // fine
+        sums[int(chrom[head[g]])] += [np.bincount(lag, autocorrelation(v, lags * fine), lags) for v in (n, y)]
+    left = np.flatnonzero(~dense[group])
+    to = np.cumsum(many[left])
+    for part in np.split(left, np.flatnonzero(np.diff(to // PAIRS)) + 1):
+        n = many[part]
+        i = np.repeat(part, n)
+        j = i + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        d = at[j] - at[i]
+        times = np.where((d == 0) & (i != j), 2.0, 1.0)  # two variants of one cell meet both ways
+        kinds, own = np.unique(chrom[part], return_inverse=True)
+        key = np.repeat(own, n) * lags + d // fine
+        found = [np.bincount(key, v, len(kinds) * lags).reshape(-1, lags) for v in (times, times * r[i] * r[j])]
+        for k, c in enumerate(kinds):
+            sums[int(c)] += [v[k] for v in found]
+
+
 def exponential_fit(x: np.ndarray, y: np.ndarray, step: float) -> float:
     """Rate of a exp(-rate x) + c that fits y: a grid over the decay per step, refined by ternary search."""
 

@@ -82,3 +82,25 @@ def test_map_points_are_sought_in_growing_frames(spark):
     out = ingest.interpolate_map(s, g)
     assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
     assert {r.pos: round(100 * r.morgans, 9) for r in out.collect()} == {5: 1.0, 10: 1.0, 15: 2.0, 20: 2.0, 25: 3.0, 40: 6.0, 99: 6.0}
+
+
+def test_date_moments_take_pairs_where_calls_are_sparse(spark, monkeypatch):
+    """Sums of few variants on a long chromosome equal those of the FFT over all cells, which isn't taken."""
+    import pyarrow as pa
+
+    from kinfold.operators import dating
+
+    rng = np.random.default_rng(5)
+    rows = sorted((s, c, float(x), float(rng.normal())) for s in range(6) for c in (1, 2) for x in [0.5, 0.50001, *(rng.integers(0, 20_000, 25) * 1e-3)])
+    t = pa.table(dict(zip(("sample_idx", "chrom", "genpos_m", "r"), map(np.array, zip(*rows)))))
+    want = {1: np.zeros((2, 1000)), 2: np.zeros((2, 1000))}
+    for s in range(6):
+        for c in (1, 2):
+            x, r = np.array([v[2:] for v in rows if v[:2] == (s, c)]).T
+            at = ((x - x[0]) / 1e-4).astype(int)
+            lag = np.arange(10_000) // 10
+            want[c] += [np.bincount(lag, dating.autocorrelation(v, 10_000), 1000) for v in (np.bincount(at).astype(float), np.bincount(at, r))]
+    monkeypatch.setattr(dating, "autocorrelation", lambda *a: pytest.fail("an FFT for each sample"))
+    sums = {}
+    dating.lagged_products(t, 1e-4, 10, 1000, sums)
+    assert all(np.allclose(sums[c], want[c], atol=1e-9) for c in want)
