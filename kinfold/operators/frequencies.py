@@ -28,7 +28,7 @@ def allele_frequency(geno: DataFrame, ploidy: DataFrame | None = None) -> DataFr
     if ploidy is None:
         called = called.withColumn("ploidy", F.lit(2))
     else:
-        called = called.join(ploidy, "sample_idx")
+        called = called.join(F.broadcast(ploidy), "sample_idx")  # a row for each sample
     sums = called.groupBy("snp_idx", "pop").agg(F.sum(F.col("dosage") / (3 - F.col("ploidy"))).alias("ac"), F.sum("ploidy").cast("long").alias("n"))
     return sums.select("snp_idx", "pop", (F.col("ac") / F.col("n")).alias("q"), "n")
 

@@ -104,3 +104,15 @@ def test_date_moments_take_pairs_where_calls_are_sparse(spark, monkeypatch):
     sums = {}
     dating.lagged_products(t, 1e-4, 10, 1000, sums)
     assert all(np.allclose(sums[c], want[c], atol=1e-9) for c in want)
+
+
+def test_variant_aggregates_share_one_exchange(spark):
+    """Counts by variant, and a variant's pairs, are where the calls were dealt to."""
+    from kinfold.operators import differentiation, frequencies
+    from kinfold.plans import fixture
+
+    plan = differentiation.fst_sites(frequencies.pop_counts(fixture.genotypes(spark, SF)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    g = fixture.genotypes(spark, SF)
+    plan = frequencies.allele_frequency(g, frequencies.detect_ploidy(g))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
