@@ -147,22 +147,28 @@ def dstat(af: DataFrame, blocks: DataFrame, quartets: DataFrame) -> DataFrame:
 
 
 # ---- all subsets --------------------------------------------------------------------------------------------------------
-def dense(tensor: DataFrame, most_pops: int = 2000) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Populations, f2 as blocks x pops x pops, block sizes: for fits, after the survivor rule.  ValueError above `most_pops`."""
-    t = survivors(tensor).select("block_id", "p1", "p2", "f2", "block_size").toArrow().sort_by([("block_id", "ascending"), ("p1", "ascending"), ("p2", "ascending")])
-    p1, p2 = t.column("p1").to_pylist(), t.column("p2").to_pylist()
-    pops = sorted({*p1, *p2})
+def dense(tensor: DataFrame, most_pops: int = 2000, only: set[str] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Populations, f2 as blocks x pops x pops, block sizes: for fits, after the survivor rule, which looks at all populations; `only` these are kept.  ValueError above `most_pops`.
+
+    A row for each block reaches the driver, with one number for each pair of the populations kept.
+    """
+    t = survivors(tensor)
+    if only is not None:
+        t = t.filter(F.col("p1").isin(*only) & F.col("p2").isin(*only)) if only else t.limit(0)
+    pairs = sorted(map(tuple, t.select("p1", "p2").distinct().collect()))  # of populations
+    pops = sorted({p for pair in pairs for p in pair})
     if len(pops) > most_pops:
         raise ValueError(f"{len(pops)} populations: more than a worker holds densely")
     at = {p: i for i, p in enumerate(pops)}
-    ids, block = np.unique(t.column("block_id").to_numpy(), return_inverse=True)
-    out = np.zeros((len(ids), len(pops), len(pops)))
-    i, j = np.array([at[p] for p in p1], np.int64), np.array([at[p] for p in p2], np.int64)
-    v = np.where(i == j, 0.0, t.column("f2").to_numpy())
-    out[block, i, j] = out[block, j, i] = v
-    sizes = np.zeros(len(ids))
-    sizes[block] = t.column("block_size").to_numpy()
-    return pops, out, sizes
+    # every surviving block has every pair
+    rows = t.groupBy("block_id").agg(F.first("block_size").alias("n"), F.sort_array(F.collect_list(F.struct("p1", "p2", "f2"))).getField("f2").alias("f2"))
+    packed = rows.toArrow().sort_by("block_id")
+    out = np.zeros((len(packed), len(pops), len(pops)))
+    if len(packed):
+        i, j = np.array([at[p] for p, _ in pairs]), np.array([at[p] for _, p in pairs])
+        v = np.where(i == j, 0.0, packed.column("f2").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(packed), len(pairs)))
+        out[:, i, j] = out[:, j, i] = v
+    return pops, out, packed.column("n").to_numpy().astype(float)
 
 
 def jackknife_rows(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,8 @@ from kinfold.operators.fstats import dense
 
 FUDGE = 1e-4
 ROUNDS = 20
+#: Matrices that are refitted together.
+STACK = 4096
 
 
 @dataclass
@@ -82,6 +84,8 @@ def left_factors(x: np.ndarray, inverse: np.ndarray, rank: int, fudge: float = F
     n, nl, nr = x.shape
     if not rank:
         return np.zeros((n, nl, 0))
+    if n > STACK:
+        return np.concatenate([left_factors(x[s : s + STACK], inverse, rank, fudge, rounds) for s in range(0, n, STACK)])
     flat = x.reshape(n, -1, 1)
 
     def solved(design: np.ndarray) -> np.ndarray:
@@ -176,7 +180,8 @@ FIT_SCHEMA = (
 
 def qpadm(models: DataFrame, tensor: DataFrame, alpha: float = 0.05, with_se: bool = True, full: bool = True) -> DataFrame:
     """model_id, target, left, right (arrays of labels) and the fit of each model.  ValueError for an unknown label is a status: `invalid_config`."""
-    pops, f2, n = dense(tensor)
+    named = models.select(F.explode(F.concat(F.array("target"), "left", "right")).alias("p")).distinct().collect()  # labels
+    pops, f2, n = dense(tensor, only={r.p for r in named if r.p is not None})
     shared = models.sparkSession.sparkContext.broadcast((pops, f2, n))
 
     def run(batches):
@@ -197,7 +202,7 @@ def qpadm(models: DataFrame, tensor: DataFrame, alpha: float = 0.05, with_se: bo
 
 def qpwave(tensor: DataFrame, left: list[str], right: list[str], alpha: float = 0.05) -> DataFrame:
     """A row for each rank of the f4 matrix of left against right (each first label is the reference), and f4rank."""
-    pops, f2, n = dense(tensor)
+    pops, f2, n = dense(tensor, only={*left, *right})
     at = {p: i for i, p in enumerate(pops)}
     if missing := [p for p in (*left, *right) if p not in at]:
         raise ValueError(f"unknown populations: {missing}")

@@ -116,3 +116,25 @@ def test_variant_aggregates_share_one_exchange(spark):
     g = fixture.genotypes(spark, SF)
     plan = frequencies.allele_frequency(g, frequencies.detect_ploidy(g))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_fits_collect_their_own_populations_only(spark, monkeypatch):
+    """What reaches the driver is a row for each block, with the pairs of a model's populations; the survivor rule still looks at all."""
+    from kinfold.operators import fstats, models
+
+    rng = np.random.default_rng(2)
+    pops = [f"P{i}" for i in range(9)]
+    rows = [(b, p, q, float(rng.random()), 10, 5 + b % 3) for b in range(30) for i, p in enumerate(pops) for q in pops[i:] if not (b == 7 and q == "P8")]
+    t = spark.createDataFrame(rows, "block_id int, p1 string, p2 string, f2 double, vpair long, block_size long")
+    names, whole, n = fstats.dense(t)
+    assert names == pops and whole.shape == (29, 9, 9) and n.tolist() == [5 + b % 3 for b in range(30) if b != 7]
+    v = {r[:3]: r[3] for r in rows}
+    assert whole[3, 1, 4] == whole[3, 4, 1] == v[3, "P1", "P4"] and whole[8, 2, 2] == 0 and whole[7, 0, 5] == v[8, "P0", "P5"]
+    asked = []
+    old = fstats.dense
+    monkeypatch.setattr(models, "dense", lambda *a, **k: asked.append(old(*a, **k)) or asked[-1])
+    m = spark.createDataFrame([(0, "P0", ["P2", "P3"], ["P4", "P5", "P6"])], "model_id long, target string, left array<string>, right array<string>")
+    got = models.qpadm(m, t).first()
+    assert asked[0][0] == ["P0", "P2", "P3", "P4", "P5", "P6"] and asked[0][1].shape == (29, 6, 6)
+    want = models.fit(whole, n, 0, [2, 3], [4, 5, 6])
+    assert np.allclose(got.weights, want["weights"]) and np.allclose(got.se, want["se"]) and got.p == pytest.approx(want["p"])
