@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def pairs_within_snp(counts: DataFrame) -> DataFrame:
@@ -15,23 +18,30 @@ def pairs_within_snp(counts: DataFrame) -> DataFrame:
 
 
 def wc_components(pairs: DataFrame) -> DataFrame:
-    """Adds num and den of the two-population estimator (a, and a + b + c), null where it is undefined."""
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
-    total = n1 + n2
-    mean = total / 2
-    nc = total - (n1 * n1 + n2 * n2) / total
-    q1, q2 = F.col("ac1") / (2 * n1), F.col("ac2") / (2 * n2)
-    q = (F.col("ac1") + F.col("ac2")) / (2 * total)
-    s2 = (n1 * (q1 - q) * (q1 - q) + n2 * (q2 - q) * (q2 - q)) / mean
-    h = (F.col("het1") + F.col("het2")) / total
-    inner = q * (1 - q) - s2 / 2
-    a = mean / nc * (s2 - (inner - h / 4) / (mean - 1))
-    b = mean / (mean - 1) * (inner - (2 * mean - 1) / (4 * mean) * h)
-    den = a + b + h / 2
-    ok = (F.col("n1") > 0) & (F.col("n2") > 0) & (mean > 1)
-    t = pairs.withColumns({"num": F.when(ok, a), "den": F.when(ok, den)})
-    good = F.col("den").isNotNull() & (F.abs("den") > 1e-14)
-    return t.withColumns({"num": F.when(good, F.col("num")), "den": F.when(good, F.col("den"))})
+    """Adds num and den of the two-population estimator (a, and a + b + c), null where it is undefined.
+
+    Steps use each other's results several times; as SQL expressions they would be written out, and computed, at each use.
+    """
+
+    def run(batches):
+        for t in batches:
+            n1, n2, ac1, ac2, het1, het2 = (t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n1", "n2", "ac1", "ac2", "het1", "het2"))
+            with np.errstate(all="ignore"):
+                total = n1 + n2
+                mean = total / 2
+                nc = total - (n1 * n1 + n2 * n2) / total
+                q1, q2 = ac1 / (2 * n1), ac2 / (2 * n2)
+                q = (ac1 + ac2) / (2 * total)
+                s2 = (n1 * (q1 - q) * (q1 - q) + n2 * (q2 - q) * (q2 - q)) / mean
+                h = (het1 + het2) / total
+                inner = q * (1 - q) - s2 / 2
+                a = mean / nc * (s2 - (inner - h / 4) / (mean - 1))
+                b = mean / (mean - 1) * (inner - (2 * mean - 1) / (4 * mean) * h)
+                den = a + b + h / 2
+                none = ~((n1 > 0) & (n2 > 0) & (mean > 1) & (np.abs(den) > 1e-14))
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(a, mask=none), pa.array(den, mask=none)], names=[*t.schema.names, "num", "den"])
+
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("num", DoubleType()), StructField("den", DoubleType())]))
 
 
 def fst_sites(counts: DataFrame) -> DataFrame:

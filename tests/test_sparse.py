@@ -138,3 +138,13 @@ def test_fits_collect_their_own_populations_only(spark, monkeypatch):
     assert asked[0][0] == ["P0", "P2", "P3", "P4", "P5", "P6"] and asked[0][1].shape == (29, 6, 6)
     want = models.fit(whole, n, 0, [2, 3], [4, 5, 6])
     assert np.allclose(got.weights, want["weights"]) and np.allclose(got.se, want["se"]) and got.p == pytest.approx(want["p"])
+
+
+def test_components_are_computed_once(spark):
+    """The plan of all pairs stays short: no step is written out again at each of its uses."""
+    from kinfold.operators import differentiation, frequencies
+    from kinfold.plans import fixture
+
+    sites = differentiation.fst_sites(frequencies.pop_counts(fixture.genotypes(spark, SF))).filter("den IS NOT NULL")
+    plan = sites._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cast(n1") < 2 and len(plan) < 10_000
